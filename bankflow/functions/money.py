@@ -18,6 +18,11 @@ def money(column: str | Column) -> Column:
     return _col(column).cast(MONEY)
 
 
+def wide_money(column: str | Column) -> Column:
+    """Money of the report tables, wide enough for sums over customers."""
+    return _col(column).cast(WIDE_MONEY)
+
+
 def try_money(column: str | Column) -> Column:
     """Money, or NULL for text that is no number (for quarantine paths)."""
     return _col(column).try_cast(MONEY)

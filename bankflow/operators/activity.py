@@ -120,5 +120,7 @@ def channel_mean_columns(scale: int | None = 2) -> list[Column]:
     means = []
     for total, rows, name in zip(_SUMS, _ROWS, CHANNEL_MEANS):
         mean = decimal_ratio(total, rows)
-        means.append((mean if scale is None else F.round(mean, scale)).alias(name))
+        if scale is not None:
+            mean = F.round(mean, scale).cast(f"decimal(20,{scale})")
+        means.append(mean.alias(name))
     return means

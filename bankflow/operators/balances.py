@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankflow.functions import month_of
+from bankflow.operators.scaffold import month_list
 
 CARD = "CREDIT_CARD"
 
@@ -62,3 +63,22 @@ def with_previous(monthly: DataFrame, column: str = "total_balance") -> DataFram
     """
     by_month = Window.partitionBy("customer_id").orderBy("month_start")
     return monthly.withColumn("previous_month_balance", F.lag(column).over(by_month))
+
+
+def moved_to_next_month(monthly: DataFrame, months: DataFrame) -> DataFrame:
+    """Each month's total balance under the report month that follows it.
+
+    Joined to the scaffold this gives the same value as :func:`with_previous`, without gathering a
+    customer's months: the rows move by the keys the scaffold has anyway. The last month has no
+    follower and drops out.
+    """
+    return (
+        monthly.withColumn("_months", month_list(months))
+        .select(
+            F.get(F.filter("_months", lambda m: m > F.col("month_start")), 0).alias("_next"),
+            "customer_id",
+            F.col("total_balance").alias("carried_balance"),
+        )
+        .filter(F.col("_next").isNotNull())
+        .withColumnRenamed("_next", "month_start")
+    )

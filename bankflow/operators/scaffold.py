@@ -30,33 +30,25 @@ def month_list(months: DataFrame) -> Column:
 
 def customer_months(customers: DataFrame, months: DataFrame) -> DataFrame:
     """Every customer in every report month, also those without accounts."""
-    return customers.select("customer_id", month_list(months).alias("months")).select(
-        F.explode("months").alias("month_start"), "customer_id"
+    # The outer form keeps Spark from copying the month subquery into a filter on the customers.
+    return (
+        customers.select("customer_id", month_list(months).alias("months"))
+        .select(F.explode_outer("months").alias("month_start"), "customer_id")
+        .filter(F.col("month_start").isNotNull())
     )
 
 
 def assemble_month(scaffold: DataFrame, *measures: DataFrame) -> DataFrame:
-    """The scaffold with the columns of each measure table, NULL where a measure has no row.
+    """The scaffold left-joined with each measure on customer and month.
 
-    All inputs have at most one row per customer and month, so a left join per measure equals one
-    grouping of their union. That moves each input once, by customer, and the later windows over
-    ``customer_id`` find their rows already in place. Measure rows outside the scaffold drop out.
-    A group holds at most one row per input.
+    Every measure has at most one row per key, so rows do not multiply. All joins share their keys:
+    the narrow scaffold moves once, and a measure that was grouped by these keys last does not move
+    again. The month in the key spreads the rows of any one customer.
     """
     keys = ["month_start", "customer_id"]
-    rows = scaffold.select(*keys, F.lit(True).alias("_in_scaffold"))
-    columns: list[str] = []
     for measure in measures:
-        columns += [c for c in measure.columns if c not in keys]
-        known = measure.filter(F.col("customer_id").isNotNull())
-        rows = rows.unionByName(known, allowMissingColumns=True)
-    return (
-        rows.repartition("customer_id")
-        .groupBy(*keys)
-        .agg(F.max("_in_scaffold").alias("_in_scaffold"), *[F.max(c).alias(c) for c in columns])
-        .filter("_in_scaffold")
-        .drop("_in_scaffold")
-    )
+        scaffold = scaffold.join(measure, keys, "left")
+    return scaffold
 
 
 def customer_coverage(customers: DataFrame, accounts: DataFrame) -> DataFrame:

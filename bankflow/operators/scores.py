@@ -17,13 +17,14 @@ def scores_before(scores: DataFrame, months: DataFrame) -> DataFrame:
     The months come from an array, so this is a projection of the scores and not a range join. Its
     output grows with scores times months; :func:`asof_latest` reduces the scores first.
     """
-    carried = [c for c in scores.columns]
+    carried = scores.columns
     return (
         scores.withColumn("_months", month_list(months))
         .withColumn(
             "_later", F.filter("_months", lambda m: F.col("score_date") < next_month(m))
         )
-        .select(F.explode("_later").alias("month_start"), *carried)
+        .select(F.explode_outer("_later").alias("month_start"), *carried)
+        .filter(F.col("month_start").isNotNull())
     )
 
 
@@ -39,7 +40,7 @@ def score_marks(scores: DataFrame, months: DataFrame) -> DataFrame:
 
     A score takes effect in the first report month that ends after it. Scores after the last report
     month are never known in time and drop out. The result has at most one row per customer and
-    report month and feeds a last-value window.
+    report month.
     """
     effective = (
         scores.filter(F.col("score_date").isNotNull())
@@ -77,9 +78,10 @@ def asof_latest(scores: DataFrame, months: DataFrame, method: str = "interval")
                 ),
             )
             .select(
-                F.explode("_valid").alias("month_start"),
+                F.explode_outer("_valid").alias("month_start"),
                 "customer_id", "score_date", "probability_of_default",
             )
+            .filter(F.col("month_start").isNotNull())
         )
     if method == "rank":
         pairs = scores_before(latest_per_score_month(scores).drop("month_start"), months)

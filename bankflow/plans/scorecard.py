@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bankflow.functions import (
@@ -14,13 +14,18 @@ from bankflow.functions import (
     parse_month,
     risk_flag,
     utilisation,
+    wide_money,
 )
 from bankflow.functions.dates import shift_month
-from bankflow.functions.money import WIDE_MONEY
-from bankflow.operators.activity import TYPE_COUNTS, channel_mean_columns, monthly_activity
-from bankflow.operators.balances import month_balance, with_previous
+from bankflow.operators.activity import (
+    CHANNEL_MEANS,
+    TYPE_COUNTS,
+    channel_mean_columns,
+    monthly_activity,
+)
+from bankflow.operators.balances import month_balance, moved_to_next_month
 from bankflow.operators.scaffold import assemble_month, customer_months, report_months
-from bankflow.operators.scores import score_marks
+from bankflow.operators.scores import asof_latest
 
 
 def monthly_facts(
@@ -30,41 +35,41 @@ def monthly_facts(
     accounts: DataFrame,
     transactions: DataFrame,
     scores: DataFrame,
+    guard: str = "positive",
 ) -> DataFrame:
     """One row per customer and report month with balances, activity and the as-of score.
 
-    Every input is reduced to customer-months first. The only full shuffle is the one by customer
-    in ``assemble_month``; previous balance and as-of score are windows on that partitioning, each
-    over the months of one customer.
+    Every input is reduced to customer-months first and then joined to the scaffold on both keys.
+    The previous balance is the month before's row moved forward; on the scaffold a month without
+    accounts counts as zero, and only the first report month has no previous one.
     """
-    marks = score_marks(scores, months).select(
-        "month_start",
-        "customer_id",
-        F.lit(True).alias("_scored"),
-        "probability_of_default",
+    balance = month_balance(snapshots).withColumn("total_balance", wide_money("total_balance"))
+    used = utilisation(
+        wide_money("credit_card_balance"), wide_money("total_credit_limit"), guard
     )
-    activity = monthly_activity(transactions, accounts)
+    # Ratios of one input are taken before the joins, where there are fewer rows than on the grid.
     facts = assemble_month(
-        customer_months(customers, months), month_balance(snapshots), activity, marks
-    )
-    so_far = (
-        Window.partitionBy("customer_id")
-        .orderBy("month_start")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        customer_months(customers, months),
+        balance.select("month_start", "customer_id", "total_balance", used.alias("_used")),
+        moved_to_next_month(balance, months),
+        monthly_activity(transactions, accounts).select(
+            "month_start", "customer_id", *TYPE_COUNTS, *channel_mean_columns(scale=2)
+        ),
+        asof_latest(scores, months).drop("score_date"),
     )
-    score = F.when(F.col("_scored"), F.struct(F.col("probability_of_default").alias("pd")))
-    zero_filled = facts.select(
+    first = months.agg(F.min("month_start")).scalar()
+    return facts.select(
         "month_start",
         "customer_id",
-        null_to_zero("total_balance").cast(WIDE_MONEY).alias("total_balance"),
-        F.col("credit_card_balance").cast(WIDE_MONEY).alias("credit_card_balance"),
-        F.col("total_credit_limit").cast(WIDE_MONEY).alias("total_credit_limit"),
+        null_to_zero("total_balance").alias("total_balance"),
+        F.when(F.col("month_start") > first, null_to_zero("carried_balance")).alias(
+            "previous_month_balance"
+        ),
+        null_to_zero("_used").alias("_used"),
         *[null_to_zero(c).alias(c) for c in TYPE_COUNTS],
-        *channel_mean_columns(scale=2),
-        # A score row with a NULL probability still replaces the older one, hence the struct.
-        F.last(score, ignorenulls=True).over(so_far)["pd"].alias("probability_of_default"),
+        *CHANNEL_MEANS,
+        "probability_of_default",
     )
-    return with_previous(zero_filled)
 
 
 def scorecard(
@@ -78,7 +83,7 @@ def scorecard(
     facts = monthly_facts(
         customers, report_months(snapshots), snapshots, accounts, transactions, scores
     )
-    return _with_ratios(facts, guard="positive", change_scale=4, utilisation_scale=4)
+    return _with_ratios(facts, change_scale=4, utilisation_scale=4)
 
 
 def scorecard_month(
@@ -101,32 +106,26 @@ def scorecard_month(
         accounts,
         transactions.filter(month_range("txn_date", run_month)),
         scores.filter(F.col("score_date") < F.lit(shift_month(run, 1))),
-    )
-    rows = _with_ratios(facts, guard="nonzero", change_scale=6, utilisation_scale=6)
-    return rows.filter(F.col("month_start") == F.lit(run))
+        guard="nonzero",
+    ).filter(F.col("month_start") == F.lit(run))
+    return _with_ratios(facts, change_scale=6, utilisation_scale=6)
 
 
-def _with_ratios(
-    facts: DataFrame, guard: str, change_scale: int, utilisation_scale: int
-) -> DataFrame:
-    used = utilisation("credit_card_balance", "total_credit_limit", guard)
+def _with_ratios(facts: DataFrame, change_scale: int, utilisation_scale: int) -> DataFrame:
     change = change_ratio("total_balance", "previous_month_balance")
-    means = [c for c in facts.columns if c.startswith("avg_")]
     # The flag compares the unrounded ratios.
     return facts.select(
         "month_start",
         "customer_id",
         "total_balance",
         "previous_month_balance",
-        delta("total_balance", "previous_month_balance").cast(WIDE_MONEY).alias(
-            "mom_balance_change"
-        ),
+        wide_money(delta("total_balance", "previous_month_balance")).alias("mom_balance_change"),
         F.round(change, change_scale).cast("decimal(18,6)").alias("mom_balance_change_pct"),
-        F.round(used, utilisation_scale).cast("decimal(18,6)").alias("credit_utilization"),
+        F.round("_used", utilisation_scale).cast("decimal(18,6)").alias("credit_utilization"),
         "probability_of_default",
         *TYPE_COUNTS,
-        *[F.col(c).cast(WIDE_MONEY).alias(c) for c in means],
-        risk_flag(used, "probability_of_default", change).alias("risk_flag"),
+        *CHANNEL_MEANS,
+        risk_flag("_used", "probability_of_default", change).alias("risk_flag"),
     )
 
 

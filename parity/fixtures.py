@@ -75,9 +75,12 @@ class Bank:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        if table not in self._raw:
+            self._raw[table] = self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        return self._raw[table]
 
     def __getattr__(self, name: str) -> DataFrame:
         text = FIXTURES.get(f"fx_{name}")
@@ -86,7 +89,9 @@ class Bank:
         inputs = {t: self.raw(t) for t in TABLES if f"{{{t}}}" in text}
         if "{fx_snapshots}" in text:
             inputs["fx_snapshots"] = self.snapshots
-        return self.spark.sql(text, **inputs)
+        built = self.spark.sql(text, **inputs)
+        setattr(self, name, built)
+        return built
 
 
 def with_fixtures(query: str, *names: str) -> str:
