@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankflow.functions import mask_all, mask_but_last, money
+from bankflow.functions import mask_all, mask_but_last, money, month_of
 from bankflow.operators.activity import with_customer
 from bankflow.operators.balances import latest_per_month
+from bankflow.operators.previous import previous_row
 from bankflow.schemas import INFLOW_TYPES, OUTFLOW_TYPES
 
 # Fee in rupiah and the balance below which it is due.
@@ -76,16 +77,16 @@ def rejected_with_txns(
 
 
 def score_jumps(scores: DataFrame, limit: int = 100) -> DataFrame:
-    """Assessments more than ``limit`` points away from the customer's one before.
-
-    A window group is one customer's assessments: one per date, so bounded by the calendar.
-    """
-    by_date = Window.partitionBy("customer_id").orderBy("score_date")
-    return (
-        scores.select("customer_id", "score_date", "credit_score")
-        .withColumn("previous_score", F.lag("credit_score").over(by_date))
-        .filter(F.abs(F.col("credit_score") - F.col("previous_score")) > limit)
+    """Assessments more than ``limit`` points away from the customer's one before."""
+    order = [c for c in ("score_date", "score_id") if c in scores.columns]
+    paired = previous_row(
+        scores.select("customer_id", *order, "credit_score"),
+        "customer_id", order, ["credit_score"], month_of("score_date"),
     )
+    return paired.select(
+        "customer_id", "score_date", "credit_score",
+        F.col("previous_credit_score").alias("previous_score"),
+    ).filter(F.abs(F.col("credit_score") - F.col("previous_score")) > limit)
 
 
 def risk_pd_corr(customers: DataFrame, scores: DataFrame) -> DataFrame:
@@ -104,14 +105,14 @@ def balance_breaks(snapshots: DataFrame, consecutive_days: bool = True) -> DataF
     """Snapshots where the balance before plus the day's net amount is not the balance.
 
     With ``consecutive_days`` only pairs of neighbouring dates count, since the net amount covers
-    one day. A window group is one account's dates.
+    one day.
     """
-    by_date = Window.partitionBy("account_id").orderBy("snapshot_date")
-    paired = snapshots.select(
-        "account_id", "snapshot_date", "balance", "daily_net_amount",
-        F.lag("balance").over(by_date).alias("previous_balance"),
-        F.lag("snapshot_date").over(by_date).alias("previous_date"),
-    ).filter(F.col("previous_balance").isNotNull())
+    paired = previous_row(
+        snapshots.select("account_id", "snapshot_date", "balance", "daily_net_amount"),
+        "account_id", ["snapshot_date"], ["balance", "snapshot_date"], month_of("snapshot_date"),
+    ).withColumnRenamed("previous_snapshot_date", "previous_date").filter(
+        F.col("previous_balance").isNotNull()
+    )
     if consecutive_days:
         paired = paired.filter(F.datediff("snapshot_date", "previous_date") == 1)
     expected = F.col("previous_balance") + F.coalesce("daily_net_amount", F.lit(0))

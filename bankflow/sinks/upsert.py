@@ -39,10 +39,11 @@ def upsert(
     if target is None:
         write_snapshot(staged, target_path, partition_col)
         return
-    touched = staged.select(partition_col).distinct()
-    kept = (
-        target.join(touched, partition_col, "left_semi")
-        .join(staged.select(*keys), keys, "left_anti")
+    # The values name the folders that the commit replaces one by one on the driver anyway; as
+    # literals they prune the read to those folders.
+    touched = [r[0] for r in staged.select(partition_col).distinct().collect()]
+    kept = target.filter(F.col(partition_col).isin(touched)).join(
+        staged.select(*keys), keys, "left_anti"
     )
     merged_path = scratch_path(spark, "upsert-merged")
     kept.unionByName(staged).write.partitionBy(partition_col).parquet(merged_path)

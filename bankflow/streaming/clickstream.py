@@ -142,10 +142,22 @@ def write_quarantine(
 
 
 def write_events(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    files_per_date: int | None = None,
 ) -> StreamingQuery:
-    """Events in folders by date; folders by customer would be far too many and too small."""
-    return _start(with_event_date(events), path, checkpoint, trigger, ("event_date",))
+    """Events in folders by date; folders by customer would be far too many and too small.
+
+    Every task writes a file per date it holds. For small micro-batches set ``files_per_date``: each
+    date then goes to that many tasks. Leave it off for a backfill, whose tasks are large already.
+    """
+    dated = with_event_date(events)
+    if files_per_date:
+        spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_date))
+        dated = dated.repartition(F.col("event_date"), spread)
+    return _start(dated, path, checkpoint, trigger, ("event_date",))
 
 
 @dataclass(frozen=True)
@@ -168,6 +180,7 @@ def run_clickstream(
     load_context: Callable[[], tuple[DataFrame, DataFrame]],
     contract: EventContract = APP_EVENT_CONTRACT,
     delay: str = "10 minutes",
+    files_per_date: int | None = None,
 ) -> ClickstreamPaths:
     """Process what has arrived: raw to bronze, invalid to quarantine, valid to silver, enriched.
 
@@ -192,12 +205,20 @@ def run_clickstream(
         )
     )
     clean = clean_events(bronze, contract, delay)
-    finish(write_events(clean, paths.table("silver"), paths.checkpoint("silver"), now))
+    finish(
+        write_events(
+            clean, paths.table("silver"), paths.checkpoint("silver"), now, files_per_date
+        )
+    )
     silver = _stream_table(
         spark, paths.table("silver"), with_event_date(clean).schema
     ).drop("event_date")
     enriched = enrich_events(silver, *load_context())
-    finish(write_events(enriched, paths.table("enriched"), paths.checkpoint("enriched"), now))
+    finish(
+        write_events(
+            enriched, paths.table("enriched"), paths.checkpoint("enriched"), now, files_per_date
+        )
+    )
     return paths
 
 

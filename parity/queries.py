@@ -439,6 +439,7 @@ def _run_stream(bank: Bank) -> stream.ClickstreamPaths:
         scratch_path(bank.spark, "clickstream"),
         context,
         contract=EVENT_CONTRACT,
+        files_per_date=2,
     )
 
 
