@@ -18,6 +18,7 @@ def make_session(cpus: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bankflow-warehouse-"))
     )
     spark = builder.getOrCreate()
