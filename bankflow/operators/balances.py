@@ -65,20 +65,38 @@ def with_previous(monthly: DataFrame, column: str = "total_balance") -> DataFram
     return monthly.withColumn("previous_month_balance", F.lag(column).over(by_month))
 
 
-def moved_to_next_month(monthly: DataFrame, months: DataFrame) -> DataFrame:
-    """Each month's total balance under the report month that follows it.
+def month_balance_and_carried(snapshots: DataFrame, months: DataFrame) -> DataFrame:
+    """:func:`month_balance` plus the total balance of the report month before.
 
-    Joined to the scaffold this gives the same value as :func:`with_previous`, without gathering a
-    customer's months: the rows move by the keys the scaffold has anyway. The last month has no
-    follower and drops out.
+    Each month-end snapshot counts once for its own month and once, as ``carried_balance``, for the
+    report month after it; one grouping sums both. Joined to the scaffold this gives the value of
+    :func:`with_previous` without a second pass over the snapshots and without gathering a
+    customer's months. The last report month carries nowhere.
     """
-    return (
-        monthly.withColumn("_months", month_list(months))
+    own = F.col("_ahead") == 0
+    following = F.get(F.filter("_months", lambda m: m > F.col("_snapshot_month")), 0)
+    spread = (
+        latest_per_month(snapshots)
+        .withColumnRenamed("month_start", "_snapshot_month")
+        .withColumn("_months", month_list(months))
+        .withColumn("_following", following)
+        .drop("_months")
+        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_ahead"))
+        .withColumn(
+            "month_start", F.when(own, F.col("_snapshot_month")).otherwise(F.col("_following"))
+        )
+        .filter(F.col("month_start").isNotNull())
         .select(
-            F.get(F.filter("_months", lambda m: m > F.col("month_start")), 0).alias("_next"),
+            "month_start",
             "customer_id",
-            F.col("total_balance").alias("carried_balance"),
+            F.when(own, F.col("account_type")).alias("account_type"),
+            F.when(own, F.col("balance")).alias("balance"),
+            F.when(own, F.col("credit_limit")).alias("credit_limit"),
+            F.when(~own, F.col("balance")).alias("_carried"),
         )
-        .filter(F.col("_next").isNotNull())
-        .withColumnRenamed("_next", "month_start")
+    )
+    return spread.groupBy("month_start", "customer_id").agg(
+        F.sum("balance").alias("total_balance"),
+        *card_totals(),
+        F.sum("_carried").alias("carried_balance"),
     )

@@ -23,8 +23,13 @@ from bankflow.operators.activity import (
     channel_mean_columns,
     monthly_activity,
 )
-from bankflow.operators.balances import month_balance, moved_to_next_month
-from bankflow.operators.scaffold import assemble_month, customer_months, report_months
+from bankflow.operators.balances import month_balance_and_carried
+from bankflow.operators.scaffold import (
+    assemble_month,
+    customer_months,
+    month_list,
+    report_months,
+)
 from bankflow.operators.scores import asof_latest
 
 
@@ -40,24 +45,29 @@ def monthly_facts(
     """One row per customer and report month with balances, activity and the as-of score.
 
     Every input is reduced to customer-months first and then joined to the scaffold on both keys.
-    The previous balance is the month before's row moved forward; on the scaffold a month without
+    A snapshot counts for its month and, carried, for the next one; on the scaffold a month without
     accounts counts as zero, and only the first report month has no previous one.
     """
-    balance = month_balance(snapshots).withColumn("total_balance", wide_money("total_balance"))
     used = utilisation(
         wide_money("credit_card_balance"), wide_money("total_credit_limit"), guard
     )
+    balance = month_balance_and_carried(snapshots, months).select(
+        "month_start",
+        "customer_id",
+        wide_money("total_balance").alias("total_balance"),
+        wide_money("carried_balance").alias("carried_balance"),
+        used.alias("_used"),
+    )
     # Ratios of one input are taken before the joins, where there are fewer rows than on the grid.
     facts = assemble_month(
         customer_months(customers, months),
-        balance.select("month_start", "customer_id", "total_balance", used.alias("_used")),
-        moved_to_next_month(balance, months),
+        balance,
         monthly_activity(transactions, accounts).select(
             "month_start", "customer_id", *TYPE_COUNTS, *channel_mean_columns(scale=2)
         ),
         asof_latest(scores, months).drop("score_date"),
     )
-    first = months.agg(F.min("month_start")).scalar()
+    first = F.get(month_list(months), 0)
     return facts.select(
         "month_start",
         "customer_id",
