@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankflow.functions import decimal_ratio, money
-from bankflow.operators.activity import completed, with_customer
+from bankflow.functions import decimal_ratio, money, sorted_set
+from bankflow.operators.activity import completed, with_customer, with_location
 from bankflow.operators.rolling import HOT_ROWS, rolling_totals
 
 
@@ -67,13 +67,11 @@ def distinct_cities(
     Repeats are removed per account and day with map-side combine before the accounts are joined, so
     a list is built from distinct cities only and never from raw rows.
     """
+    dated = completed(transactions).select(
+        "txn_id", "account_id", F.to_date("txn_date").alias("alert_date")
+    )
     placed = (
-        completed(transactions)
-        .select("txn_id", "account_id", F.to_date("txn_date").alias("alert_date"))
-        .join(
-            locations.filter(F.col("merchant_city").isNotNull()).select("txn_id", "merchant_city"),
-            "txn_id",
-        )
+        with_location(dated, locations.filter(F.col("merchant_city").isNotNull()))
         .select("account_id", "alert_date", "merchant_city")
         .distinct()
     )
@@ -82,10 +80,7 @@ def distinct_cities(
         .select("customer_id", "alert_date", "merchant_city")
         .distinct()
         .groupBy("customer_id", "alert_date")
-        .agg(
-            F.count("*").alias("city_count"),
-            F.array_sort(F.collect_list("merchant_city")).alias("cities"),
-        )
+        .agg(F.count("*").alias("city_count"), sorted_set("merchant_city").alias("cities"))
     )
 
 

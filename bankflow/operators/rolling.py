@@ -79,7 +79,8 @@ def rolling_totals(
     key when the caller can get them more cheaply than by counting ``rows``.
 
     Keys up to the hot limit take one shuffle by key. A hot key never meets in one task: its rows
-    are reduced to instants, then to slices of ``slice_seconds``.
+    are reduced to instants, spread over slices of ``slice_seconds``, and only one total per slice
+    is gathered. When no key is hot, AQE drops that branch once the key list turns out empty.
     """
     gap = 1 if exclude_current else 0
     stay = seconds * 1_000_000 + 1 - gap

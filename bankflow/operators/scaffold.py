@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bankflow.functions import month_of, month_range
+from bankflow.functions import month_of, month_range, sorted_set
 
 
 def report_months(snapshots: DataFrame, run_month: str | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def month_list(months: DataFrame) -> Column:
     A date column has at most twelve months a year, so the array is small whatever the data size;
     it takes the place of a cross join or a join on a range of dates.
     """
-    return months.agg(F.array_sort(F.collect_set("month_start")).alias("months")).scalar()
+    return months.agg(sorted_set("month_start").alias("months")).scalar()
 
 
 def customer_months(customers: DataFrame, months: DataFrame) -> DataFrame:

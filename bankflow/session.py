@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Keeps deduplication state on disk instead of in the executor heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app_name: str = "bankflow", **settings: str) -> SparkSession:
     """Session in UTC with AQE on; the cluster manager decides master and resources."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bankflow.schemas import APP_EVENTS
 
@@ -12,7 +13,7 @@ def read_events_stream(
     spark: SparkSession,
     fmt: str = "kafka",
     options: dict[str, str] | None = None,
-    schema: str = APP_EVENTS,
+    schema: str | StructType = APP_EVENTS,
     path: str | None = None,
 ) -> DataFrame:
     """Events as a stream, from Kafka JSON values or from files that arrive in a folder.

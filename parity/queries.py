@@ -26,7 +26,7 @@ from bankflow.plans.fraud import fraud_alerts
 from bankflow.plans.lineage import trace_upstream
 from bankflow.session import scratch_path
 from bankflow.sinks import export_csv, upsert
-from bankflow.sources import read_csv, read_snapshot_day, read_snapshots
+from bankflow.sources import read_csv, read_events_stream, read_snapshot_day, read_snapshots
 from bankflow.streaming import clickstream as stream
 from bankflow.streaming.contract import EventContract
 from parity.fixtures import Bank
@@ -411,11 +411,12 @@ def alert_counts(bank: Bank) -> DataFrame:
 
 def _raw_event_stream(bank: Bank) -> DataFrame:
     """The events as a stream in which every event arrives twice."""
-    schema = bank.raw("events").schema
-    arrived = (
-        bank.spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(bank.sf_dir)
+    arrived = read_events_stream(
+        bank.spark,
+        "parquet",
+        {"pathGlobFilter": "events.parquet"},
+        bank.raw("events").schema,
+        bank.sf_dir,
     )
     return arrived.select(
         F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy"), *arrived.columns

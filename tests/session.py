@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from bankflow.session import STATE_STORE
+
 
 def make_session(cpus: str | None = None) -> SparkSession:
     cores = cpus or os.environ.get("BENCH_CPUS", "8")
@@ -18,6 +20,7 @@ def make_session(cpus: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bankflow-warehouse-"))
     )
