@@ -25,13 +25,11 @@ def build_session(app_name: str = "bankflow", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
     There is no fallback to a machine-local folder: on a cluster other executors would not see it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("nation", "customer", "orders", "lineitem", "events")
@@ -68,11 +70,20 @@ from {customer}""",
 }
 
 
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """Give a local session a checkpoint folder when none is set; a cluster must name its own."""
+    context = spark.sparkContext
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir()
+    if unset and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="bankflow-checkpoint-"))
+
+
 class Bank:
     """The derived tables as DataFrames of one session and data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ensure_shared_folder(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._raw: dict[str, DataFrame] = {}

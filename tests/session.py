@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 from bankflow.session import STATE_STORE
+from parity.fixtures import ensure_shared_folder
 
 
 def make_session(cpus: str | None = None) -> SparkSession:
@@ -26,6 +27,5 @@ def make_session(cpus: str | None = None) -> SparkSession:
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bankflow-checkpoint-"))
+    ensure_shared_folder(spark)
     return spark
