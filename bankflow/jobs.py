@@ -1,7 +1,8 @@
 """Command line of the pipelines: ``spark-submit bankflow/jobs.py <job> ...`` or ``python -m``.
 
-Tables come from a folder of CSV files with headers (``--source local``), or from a database over
-JDBC (``--source jdbc``) with JDBC_URL, JDBC_USER and JDBC_PASSWORD in the environment.
+Tables come from a folder of CSV files with headers (``--source local``), from the session's catalog
+(``--source catalog``), or from a database over JDBC (``--source jdbc``) with JDBC_URL, JDBC_USER and
+JDBC_PASSWORD in the environment.
 """
 
 from __future__ import annotations
@@ -41,11 +42,13 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if self.args.source == "local":
             return read_csv(self.spark, f"{self.args.data_dir}/{name}.csv", LAYOUTS[name])
+        if self.args.source == "catalog":
+            return self.spark.table(".".join(filter(None, (self.args.database, name))))
         return read_jdbc(self.spark, table=name, **credentials())
 
     def transactions_of(self, day: str) -> DataFrame:
         """One day of transactions; a database filters it at the source."""
-        if self.args.source == "local":
+        if self.args.source != "jdbc":
             return self("transactions")
         return read_jdbc_window(self.spark, table="transactions", day=day, **credentials())
 
@@ -138,8 +141,9 @@ def parser() -> argparse.ArgumentParser:
         sub = jobs.add_parser(name)
         sub.set_defaults(run=run)
         if tables:
-            sub.add_argument("--source", choices=["local", "jdbc"], default="local")
+            sub.add_argument("--source", choices=["local", "catalog", "jdbc"], default="local")
             sub.add_argument("--data-dir", default="data/raw")
+            sub.add_argument("--database", help="schema of the catalog tables")
         return sub
 
     sub = add("snapshot", job_snapshot)

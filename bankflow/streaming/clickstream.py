@@ -191,34 +191,31 @@ def run_clickstream(
     paths = ClickstreamPaths(folder)
     now = {"availableNow": True}
 
-    def finish(query: StreamingQuery) -> None:
-        query.awaitTermination()
-
-    finish(land_events(raw, paths.table("bronze"), paths.checkpoint("bronze"), now))
+    land_events(
+        raw, paths.table("bronze"), paths.checkpoint("bronze"), now
+    ).awaitTermination()
     bronze = _stream_table(spark, paths.table("bronze"), raw.schema)
-    finish(
+    clean = clean_events(bronze, contract, delay)
+    side_by_side = [
         write_quarantine(
             quarantined_events(bronze, contract),
             paths.table("quarantine"),
             paths.checkpoint("quarantine"),
             now,
-        )
-    )
-    clean = clean_events(bronze, contract, delay)
-    finish(
+        ),
         write_events(
             clean, paths.table("silver"), paths.checkpoint("silver"), now, files_per_date
-        )
-    )
+        ),
+    ]
+    for query in side_by_side:
+        query.awaitTermination()
     silver = _stream_table(
         spark, paths.table("silver"), with_event_date(clean).schema
     ).drop("event_date")
     enriched = enrich_events(silver, *load_context())
-    finish(
-        write_events(
-            enriched, paths.table("enriched"), paths.checkpoint("enriched"), now, files_per_date
-        )
-    )
+    write_events(
+        enriched, paths.table("enriched"), paths.checkpoint("enriched"), now, files_per_date
+    ).awaitTermination()
     return paths
 
 

@@ -79,6 +79,10 @@ def test_pipelines_on_csv(spark, capsys):
         run("scorecard-month", data_dir=data, snapshots=snapshots, run_month="2025-08-01",
             output_path=f"{folder}/gold")
     gold = spark.read.parquet(f"{folder}/gold")
+    for name in FILES:
+        jobs.read_csv(spark, f"{data}/{name}.csv", jobs.LAYOUTS[name]).createOrReplaceTempView(name)
+    run("scorecard", source="catalog", snapshots=snapshots, output_path=f"{folder}/full2")
+    assert rows(spark.read.parquet(f"{folder}/full2")) == rows(full)
     assert gold.count() == 2 and set(gold.columns) == set(column_names(SCORECARD))
     assert dict(gold.dtypes)["total_balance"] == "decimal(20,2)"
 
