@@ -15,6 +15,7 @@ from bankflow.functions.money import (
     money,
     null_to_zero,
     risk_flag,
+    rounded_ratio,
     safe_ratio,
     try_money,
     utilisation,
@@ -25,6 +26,6 @@ from bankflow.functions.text import hash_number, mask_all, mask_but_last, not_bl
 __all__ = [
     "change_ratio", "decimal_ratio", "delta", "hash_number", "in_day", "iso_text", "mask_all",
     "mask_but_last", "micros", "money", "month_of", "month_range", "next_month", "not_blank",
-    "null_to_zero", "parse_day", "parse_month", "risk_flag", "safe_ratio", "sorted_set",
+    "null_to_zero", "parse_day", "parse_month", "risk_flag", "rounded_ratio", "safe_ratio", "sorted_set",
     "try_money", "utilisation", "wide_money",
 ]

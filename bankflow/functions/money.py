@@ -51,6 +51,19 @@ def decimal_ratio(total: str | Column, count: str | Column) -> Column:
     return _col(total).cast("decimal(25,2)") / F.nullif(_col(count), F.lit(0)).cast("decimal(12,0)")
 
 
+def rounded_ratio(numerator: str | Column, denominator: str | Column, scale: int) -> Column:
+    """Quotient of two non-negative decimals rounded half up once, NULL for a zero denominator.
+
+    Wide decimals leave a plain division only a few digits, and rounding those again can be off by
+    one in the last place. Here the remainder is taken off first, so the division comes out even.
+    """
+    unit = 10**scale
+    twice = F.nullif(_col(denominator), F.lit(0)) * 2
+    shifted = _col(numerator) * (2 * unit) + _col(denominator)
+    whole = ((shifted - shifted % twice) / twice).cast("decimal(30,0)")
+    return (whole / F.lit(unit)).cast(f"decimal(30,{scale})")
+
+
 def utilisation(balance: str | Column, limit: str | Column, guard: str = "positive") -> Column:
     """Card balance over card limit.
 

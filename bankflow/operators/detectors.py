@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankflow.functions import decimal_ratio, money, sorted_set
+from bankflow.functions import decimal_ratio, money, rounded_ratio, sorted_set
 from bankflow.operators.activity import completed, with_customer, with_location
 from bankflow.operators.rolling import HOT_ROWS, rolling_totals
 
@@ -147,7 +147,7 @@ def high_amount(
         "window_rows",
         "window_sum",
         F.round(decimal_ratio("window_sum", "window_rows"), 2).alias("avg_amount"),
-        F.round(
-            F.col("amount") * F.col("window_rows") / F.nullif("window_sum", F.lit(0)), 2
-        ).alias("ratio_to_avg"),
+        rounded_ratio(F.col("amount") * F.col("window_rows"), "window_sum", 2).alias(
+            "ratio_to_avg"
+        ),
     )

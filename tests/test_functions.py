@@ -1,4 +1,5 @@
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from bankflow.functions import (
     parse_day,
     parse_month,
     risk_flag,
+    rounded_ratio,
     safe_ratio,
     try_money,
     utilisation,
@@ -104,3 +106,15 @@ def test_text_helpers(spark):
     assert one(spark, "p string", ("12x",), try_money("p")) is None
     df = spark.createDataFrame([(ts("2025-08-01T10:00:00.500000"),)], "t timestamp_ntz")
     assert df.select(iso_text("t")).first()[0] == "2025-08-01T10:00:00.5"
+
+
+@pytest.mark.parametrize(
+    "n, d, expected",
+    [("1294.20", "408.91", "3.16"), ("0.01", "2.00", "0.01"), ("0.03", "2.00", "0.02"),
+     ("5", "0", None), ("0", "3", "0.00"),
+     ("12345678901234567890.12", "0.01", "1234567890123456789012.00")],
+)
+def test_rounded_ratio_rounds_once(spark, n, d, expected):
+    cast = [F.lit(v).cast("decimal(25,2)") for v in (n, d)]
+    got = spark.range(1).select(rounded_ratio(*cast, 2).alias("x")).first()["x"]
+    assert got == (None if expected is None else Decimal(expected))
