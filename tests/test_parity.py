@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from parity import oracle
+from parity.queries import QUERIES
 from tests.helpers import plan_of
 
 SF_DIR = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.oracle_sql()
 WRITERS = {
     "snapshot_rerun", "snapshot_day_scan", "snapshot_export", "run_audit", "scorecard_upsert",
     "events_clean", "events_quarantine", "events_enriched", "events_tiered", "lineage_trace",
@@ -25,12 +27,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     quoted = ", ".join(f'"{c}"' for c in columns)
@@ -40,9 +42,9 @@ def test_query_equals_sql(spark, db, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in WRITERS])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WRITERS])
 def test_no_cross_joins_and_no_python_in_plans(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(QUERIES[name](spark, SF_DIR))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "InPandas"):
         assert word not in plan
 
