@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bankflow.llm.common import ascii_words, packed, with_fields
 
@@ -209,13 +208,13 @@ def quality_rules(
                 out.append(judge(body or "", known.get(language), rules))
             results = [pa.array(values, kind) for values, kind in zip(zip(*out), KINDS)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *results], names=["doc", *[f.name for f in FIELDS]]
+                [batch.column(0), *results], names=["doc", *NAMES]
             )
 
     return inputs.mapInArrow(measure, with_fields(rows.schema, MEASURES))
 
 
-FIELDS = T.StructType.fromDDL(MEASURES)
+NAMES = [part.split()[0] for part in MEASURES.split(", ")]
 KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
 
