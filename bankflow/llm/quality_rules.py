@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bankflow.llm.common import ascii_words, packed, with_fields
+from bankflow.llm.common import ascii_words, packed, stage, with_fields
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -172,7 +172,7 @@ def quality_rules(
     empty result. The text is scanned twice and never shuffled.
     """
     references = language_references(docs, text, lang, rules)
-    references = references.where(F.col("ref_docs") >= rules.min_reference_documents)
+    references = stage(references.where(F.col("ref_docs") >= rules.min_reference_documents), "references")
     rows = packed(docs)
     few = references.count() <= MAX_BROADCAST_LANGUAGES
     joined = rows.join(
