@@ -209,7 +209,7 @@ def links_between(docs: DataFrame, members: DataFrame, width: int, percent: int,
         "group", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("hub"), F.lit(groups))).otherwise(F.col("hub"))
     )
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    rows = texts.join(placed, "id").withColumn("linked", F.lit(False))
+    rows = texts.join(placed.hint("merge"), "id").withColumn("linked", F.lit(False))
     columns = ["group", "part", "other", "hub", "id", "linked", "text"]
     schema = "hub long, id long, root long"
 
@@ -238,7 +238,7 @@ def links_between(docs: DataFrame, members: DataFrame, width: int, percent: int,
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
     pairs = as_member.unionByName(as_other).dropDuplicates(["hub", "id", "part", "other"])
-    second = joined(texts.join(pairs.withColumn("group", F.col("hub")), "id"))
+    second = joined(texts.join(pairs.withColumn("group", F.col("hub")).hint("merge"), "id"))
     return edges.unionByName(second.select(F.col("id").alias("a"), F.col("root").alias("b")))
 
 

@@ -26,7 +26,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_duplicates(docs)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
