@@ -148,7 +148,8 @@ def benchmark_overlaps(
     """One row for each document and passage that overlap: ``doc_id, item_id, matched, doc_start, item_start, width``.
 
     An overlap is a window of 13 words with at most two substituted words, or a whole passage of 4 to 12
-    words without any. Shorter passages match nothing. Positions count words from 0 and give the best
+    words without any. A word cut off at the text's edge counts as substituted. Shorter passages match
+    nothing. Positions count words from 0 and give the best
     window (most equal words, then the earliest in the passage, then the latest in the text). Null texts have
     no words; rows of one id give one result; a null id stays null. Other columns are left out.
     """
