@@ -13,11 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bankflow.llm.common import stage
+
 WINDOW = 13
 SUBSTITUTIONS = 2
 MASKS = ((0, 2, 5, 6, 7, 9), (0, 1, 2, 4, 7, 8))
 MIN_WORDS = 4
-MAX_BROADCAST = 200_000  # seed rows a pass sends to every executor; more seeds take more passes
+MAX_BROADCAST = 50_000  # seeds a pass sends to every executor; more seeds take more passes
+REACH = 2 * WINDOW  # words on either side of a hit that hashing and verification may look at
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -98,11 +101,27 @@ def matched_words(words: Column, item_words: Column, shift: Column, first: Colum
 def one_pass(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Verified overlaps with seeds few enough to broadcast."""
     anchors = seeds.select("word", "anchor_offset", "offsets").distinct()
+    anchor_words = [r["word"] for r in seeds.select("word").distinct().collect()]
     hashed = seeds.select("hash", "item", "item_words", F.col("start").alias("item_start"), F.col("offsets").alias("seed"))
     rows = docs.select(F.col(doc_id).alias("doc"), word_array(F.col(text)).alias("words"))
-    tokens = rows.select("doc", "words", F.posexplode("words").alias("pos", "word"))
+    places = F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))),
+        lambda x: x.word.isin(anchor_words),
+    )
+    # only the words around a hit leave the row, so no long text is repeated for its hits
+    base = lambda x: F.greatest(x.pos - REACH, F.lit(0))
+    around = F.transform(
+        places,
+        lambda x: F.struct(
+            x.word.alias("word"),
+            (x.pos - base(x)).alias("pos"),
+            base(x).alias("base"),
+            F.slice("words", base(x) + 1, F.lit(2 * REACH + 1)).alias("words"),
+        ),
+    )
+    tokens = rows.select("doc", F.inline(around))
     starts = tokens.join(F.broadcast(anchors), "word").select(
-        "doc", "words", "offsets", (F.col("pos") - F.col("anchor_offset")).alias("at")
+        "doc", "words", "base", "offsets", (F.col("pos") - F.col("anchor_offset")).alias("at")
     )
     hits = (
         starts.where(F.col("at") >= 0)
@@ -123,7 +142,7 @@ def one_pass(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataF
             (-k).alias("before"),
         ),
     )
-    best = hits.select("doc", "item", "shift", width.alias("width"), F.array_max(windows).alias("best"))
+    best = hits.select("doc", "item", (F.col("base") + F.col("shift")).alias("shift"), width.alias("width"), F.array_max(windows).alias("best"))
     allowed = F.when(F.col("width") < WINDOW, 0).otherwise(SUBSTITUTIONS)
     return best.where(F.col("best.matched") >= F.col("width") - allowed).select(
         "doc",
@@ -153,7 +172,7 @@ def benchmark_overlaps(
     window (most equal words, then the earliest in the passage, then the latest in the text). Null texts have
     no words; rows of one id give one result; a null id stays null. Other columns are left out.
     """
-    seeds = anchored_seeds(docs, benchmark_seeds(benchmark, item, item_text), text)
+    seeds = stage(anchored_seeds(docs, benchmark_seeds(benchmark, item, item_text), text), "seeds")
     passes = -(-seeds.count() // MAX_BROADCAST) or 1
     found = []
     for k in range(passes):
