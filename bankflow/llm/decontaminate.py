@@ -142,14 +142,14 @@ def one_pass(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str) -> DataF
             (-k).alias("before"),
         ),
     )
-    best = hits.select("doc", "item", (F.col("base") + F.col("shift")).alias("shift"), width.alias("width"), F.array_max(windows).alias("best"))
+    best = hits.select("doc", "item", (F.col("base") + F.col("shift")).alias("offset"), width.alias("width"), F.array_max(windows).alias("best"))
     allowed = F.when(F.col("width") < WINDOW, 0).otherwise(SUBSTITUTIONS)
     return best.where(F.col("best.matched") >= F.col("width") - allowed).select(
         "doc",
         "item",
         F.struct(
             F.col("best.matched").alias("matched"),
-            (F.col("shift") - F.col("best.before")).alias("doc_start"),
+            (F.col("offset") - F.col("best.before")).alias("doc_start"),
             (-F.col("best.before")).alias("item_start"),
             "width",
         ).alias("found"),
