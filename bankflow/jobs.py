@@ -78,7 +78,8 @@ def job_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
 def job_check_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
     snapshots = read_snapshots(spark, args.path)
     print(f"rows: {snapshots.count()}")
-    partition_counts(snapshots).orderBy("snapshot_date").show(1000, truncate=False)
+    for row in partition_counts(snapshots).orderBy("snapshot_date").toLocalIterator():
+        print(*row)
 
 
 def job_export_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -111,7 +112,9 @@ def job_scorecard(spark: SparkSession, args: argparse.Namespace) -> None:
 def job_scorecard_month(spark: SparkSession, args: argparse.Namespace) -> None:
     rows = scorecard_month(*_scorecard_inputs(spark, args), args.run_month)
     upsert(args.output_path, rows, ["month_start", "customer_id"], "month_start")
-    scorecard_summary(spark.read.parquet(args.output_path)).orderBy("month_start").show(1000)
+    summary = scorecard_summary(spark.read.parquet(args.output_path)).orderBy("month_start")
+    for row in summary.toLocalIterator():
+        print(*row)
 
 
 def job_fraud(spark: SparkSession, args: argparse.Namespace) -> None:

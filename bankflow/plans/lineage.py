@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +12,11 @@ from bankflow.session import scratch_path
 _NODE = ["table_name", "column_name"]
 
 
-def trace_upstream(edges: DataFrame, table: str, column: str, max_hops: int = 100) -> DataFrame:
+def trace_upstream(edges: DataFrame, table: str, column: str, max_hops: int | None = None) -> DataFrame:
     """Every column the given one is derived from, with its least number of hops.
 
     Each round joins the edges with the columns found in the round before and drops those already
-    known, so cycles end. A round is written to the shared folder: later rounds read it back, which
+    known, so cycles end; a limit of hops is optional. A round is written to the shared folder: later rounds read it back, which
     keeps plans short and survives lost executors.
     """
     spark = edges.sparkSession
@@ -34,7 +36,9 @@ def trace_upstream(edges: DataFrame, table: str, column: str, max_hops: int = 10
     def found() -> DataFrame:
         return spark.read.schema(schema).parquet(folder)
 
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
+        if max_hops is not None and hop > max_hops:
+            raise ValueError(f"lineage of {table}.{column} is deeper than {max_hops} hops")
         known = found()
         last = known.filter(F.col("round") == hop - 1).select(
             F.col("table_name").alias("_to_table"), F.col("column_name").alias("_to_column")
@@ -49,6 +53,4 @@ def trace_upstream(edges: DataFrame, table: str, column: str, max_hops: int = 10
         step.write.parquet(f"{folder}/round={hop}")
         if found().filter(F.col("round") == hop).isEmpty():
             break
-    else:
-        raise ValueError(f"lineage of {table}.{column} is deeper than {max_hops} hops")
     return found().filter("hop > 0").drop("round")

@@ -9,9 +9,18 @@ from pyspark.sql.types import StructType
 from bankflow.functions import parse_day
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
-    """CSV with a header. Give the schema where it is known: inference reads the data twice."""
-    reader = spark.read.option("header", True)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType | None = None,
+    mode: str = "FAILFAST",
+) -> DataFrame:
+    """CSV with a header. Give the schema where it is known: inference reads the data twice.
+
+    The header must name the schema's columns in their order, and values that do not parse fail the
+    read; ``mode`` may be ``PERMISSIVE`` for files known to hold bad values, which become NULL.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("mode", mode)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
 

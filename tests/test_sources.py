@@ -60,3 +60,11 @@ def test_kafka_values(spark):
 
 def test_snapshot_layout():
     assert column_names(SNAPSHOTS)[0] == "snapshot_date" and len(column_names(SNAPSHOTS)) == 12
+
+
+def test_csv_rejects_a_reordered_header_and_bad_values(spark):
+    for lines in (["b,a", "1,x"], ["a,b", "x,12x"]):
+        path = scratch_path(spark, "csv")
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+        with pytest.raises(Exception, match="CSV|header|MALFORMED|FAILED_READ"):
+            read_csv(spark, path, "a string, b int").collect()

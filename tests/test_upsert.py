@@ -75,3 +75,15 @@ def test_audit_and_lineage_append(spark):
     record_lineage(spark, edges, [{"source_table": "ACCOUNTS", "target_table": "bronze.accounts"}])
     record_lineage(spark, edges, spark.read.parquet(edges).withColumn("run_id", F.lit("r")))
     assert spark.read.parquet(edges).count() == 2
+
+
+def test_columns_that_only_the_target_has_survive(spark):
+    target = scratch_path(spark, "t")
+    first = spark.createDataFrame(
+        [(d("2025-01-01"), "a", 1, "keep1"), (d("2025-01-01"), "b", 2, "keep2")], SCHEMA + ", extra string"
+    )
+    upsert(target, first, KEYS, "month_start")
+    got = load(spark, target, ("2025-01-01", "a", 10), ("2025-01-01", "c", 3))
+    assert rows(got.select("customer_id", "value", "extra")) == [
+        ("a", 10, "keep1"), ("b", 2, "keep2"), ("c", 3, None),
+    ]
