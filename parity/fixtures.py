@@ -48,8 +48,7 @@ from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey""",
 select customer_id, score_date, max(probability_of_default) as probability_of_default from (
   select o.o_custkey as customer_id, cast(l.l_shipdate as date) as score_date,
     cast(l.l_discount * 5 as decimal(5,4)) as probability_of_default
-  from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey
-  where l.l_linenumber = 1) s
+  from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey) s
 group by customer_id, score_date""",
     "fx_txn_events": """
 select event_id as txn_id, user_id as account_id, ts as txn_date,
