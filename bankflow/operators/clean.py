@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from bankflow.functions import try_money
 from bankflow.schemas import CHANNELS, TXN_STATUSES, TXN_TYPES
 
+RAW_COLUMNS = ("raw_amount", "raw_txn_date")
+
 
 def validate_transactions(raw: DataFrame) -> DataFrame:
     """Typed columns plus ``reason``: NULL for a good row, else the failed checks.
 
-    Bad text becomes NULL through ``try_cast`` and is reported, so one row cannot stop the job.
+    Bad text becomes NULL through ``try_cast`` and is reported, so one row cannot stop the job; the
+    values as they came stay in ``raw_amount`` and ``raw_txn_date``, which only rejected rows keep.
     """
-    typed = raw.withColumn("amount", try_money("amount")).withColumn(
-        "txn_date", F.col("txn_date").try_cast("timestamp_ntz")
+    typed = raw.withColumns(
+        {c: F.col(c.removeprefix("raw_")).cast("string") for c in RAW_COLUMNS}
+    ).withColumns(
+        {"amount": try_money("amount"), "txn_date": F.col("txn_date").try_cast("timestamp_ntz")}
     )
     failures = [
         _failure(F.col("txn_id").isNull(), "txn_id is missing"),
@@ -38,7 +43,7 @@ def clean_transactions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     checked = validate_transactions(raw)
     rejected = checked.filter(F.col("reason").isNotNull())
-    valid = checked.filter(F.col("reason").isNull()).drop("reason")
+    valid = checked.filter(F.col("reason").isNull()).drop("reason", *RAW_COLUMNS)
     rest = [c for c in valid.columns if c not in ("txn_id", "txn_date")]
     pick = Window.partitionBy("txn_id").orderBy(
         F.desc("txn_date"), *[F.asc_nulls_last(c) for c in sorted(rest)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from bankflow.sources.events import KAFKA_PREFIX
 from bankflow.streaming.contract import (
     APP_EVENT_CONTRACT,
     EventContract,
@@ -33,13 +34,13 @@ def dedupe_events(
     delay: str = "10 minutes",
     key: str = "event_id",
     time: str = "event_timestamp",
-    salts: int = 32,
+    salts: int = 1,
 ) -> DataFrame:
     """One event per id among those at most ``delay`` apart; later ones than that are dropped.
 
-    The state forgets an id once the watermark has passed it. With ``salts`` the copies are first
-    reduced inside ``salts`` groups per id, chosen by the map task they come from, so that an id
-    with very many copies does not meet in one task; the second step sees at most one copy a group.
+    The state forgets an id once the watermark has passed it. Where single ids have very many copies,
+    ask for ``salts``: copies are then reduced inside that many groups per id first, chosen by the map
+    task they come from, at the price of a second state row per event.
     """
     watermarked = events.withWatermark(time, delay)
     if salts > 1:
@@ -55,20 +56,41 @@ def clean_events(
     raw: DataFrame, contract: EventContract = APP_EVENT_CONTRACT, delay: str = "10 minutes"
 ) -> DataFrame:
     """Valid events without repeats."""
-    valid, _ = split_valid(validate_events(raw, contract))
+    valid, _ = split_valid(validate_events(raw, contract), contract)
+    valid = valid.drop(*[c for c in valid.columns if c.startswith(KAFKA_PREFIX)])
     return dedupe_events(valid, delay, time=contract.time_column)
 
 
+def late_events(
+    bronze: DataFrame, silver: DataFrame, contract: EventContract = APP_EVENT_CONTRACT
+) -> DataFrame:
+    """Batch check: valid landed events whose id never reached silver, one row per id.
+
+    The watermark drops such events from the stream; they can be appended to silver from here. Of
+    copies the earliest is given.
+    """
+    valid, _ = split_valid(validate_events(bronze, contract), contract)
+    missing = valid.join(silver.select("event_id"), "event_id", "left_anti")
+    first = F.min_by(F.struct(*missing.columns), contract.time_column).alias("e")
+    return missing.groupBy("event_id").agg(first).select("e.*")
+
+
 def quarantined_events(
     raw: DataFrame, contract: EventContract = APP_EVENT_CONTRACT
 ) -> DataFrame:
     """Invalid events with reason and time of arrival."""
-    _, invalid = split_valid(validate_events(raw, contract))
+    _, invalid = split_valid(validate_events(raw, contract), contract)
     return invalid.withColumn("ingested_at", F.current_timestamp())
 
 
 def account_context(accounts: DataFrame) -> DataFrame:
-    """Number of accounts and total balance per customer, one row each, so joins do not multiply."""
+    """Number of accounts and total balance per customer, one row each, so joins do not multiply.
+
+    Daily snapshots (a table with ``snapshot_date``) are reduced to each account's latest row first.
+    """
+    if "snapshot_date" in accounts.columns:
+        latest = F.max_by(F.struct("customer_id", "balance"), "snapshot_date").alias("a")
+        accounts = accounts.groupBy("account_id").agg(latest).select("a.*")
     return accounts.groupBy("customer_id").agg(
         F.count("*").alias("account_count"), F.sum("balance").alias("total_balance")
     )

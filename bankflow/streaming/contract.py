@@ -30,9 +30,12 @@ def validate_events(events: DataFrame, contract: EventContract = APP_EVENT_CONTR
     """Adds ``reason``: NULL for a good event, else what is wrong with it.
 
     The time becomes a timestamp; text that is no time becomes NULL and thus a reason. All checks
-    are expressions of one row, so they run alike on a stream and on a table.
+    are expressions of one row, so they run alike on a stream and on a table. The time as it came
+    stays in ``raw_<time column>``, which only invalid events keep.
     """
     typed = events.withColumn(
+        _raw_time(contract), F.col(contract.time_column).cast("string")
+    ).withColumn(
         contract.time_column, F.col(contract.time_column).try_cast("timestamp")
     )
     failures = [
@@ -46,7 +49,13 @@ def validate_events(events: DataFrame, contract: EventContract = APP_EVENT_CONTR
     return typed.withColumn("reason", F.nullif(F.concat_ws("; ", *failures), F.lit("")))
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid events without the reason, and invalid events with it."""
-    valid = validated.filter(F.col("reason").isNull()).drop("reason")
+def split_valid(
+    validated: DataFrame, contract: EventContract = APP_EVENT_CONTRACT
+) -> tuple[DataFrame, DataFrame]:
+    """Valid events without the reason, and invalid events with it and their time as it came."""
+    valid = validated.filter(F.col("reason").isNull()).drop("reason", _raw_time(contract))
     return valid, validated.filter(F.col("reason").isNotNull())
+
+
+def _raw_time(contract: EventContract) -> str:
+    return f"raw_{contract.time_column}"

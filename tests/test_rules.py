@@ -125,6 +125,7 @@ def test_clean_transactions(spark):
     assert [(r["txn_id"], r["amount"], r["txn_date"].hour) for r in valid.collect()] == [
         ("t1", dec("-1.50"), 11)
     ]
+    assert rows(rejected.filter("txn_id = 't2'"), "raw_amount", "raw_txn_date") == [("x", "yesterday")]
     reasons = {r["txn_id"]: r["reason"] for r in rejected.collect()}
     assert reasons == {
         "t2": "txn_date is missing or unreadable; amount is missing or unreadable",

@@ -53,7 +53,8 @@ def test_kafka_values(spark):
         "value string",
     ).selectExpr("cast(value as binary) as value")
     parsed = parse_kafka(df)
-    assert parsed.columns == column_names(APP_EVENTS)
+    assert parsed.columns == [*column_names(APP_EVENTS), "kafka_value"]
+    assert {bytes(r["kafka_value"]) for r in parsed.filter("event_id is null").collect()} == {b"no json"}
     got = {r["event_id"]: r["device_type"] for r in parsed.collect()}
     assert got == {"e1": "IOS", None: None}
 

@@ -8,6 +8,7 @@ from bankflow.session import scratch_path
 from bankflow.streaming.clickstream import (
     account_context,
     enrich_events,
+    late_events,
     run_clickstream,
     tier_events,
 )
@@ -87,6 +88,8 @@ def test_replay_restart_late_and_invalid(spark, context):
     quarantine = spark.read.parquet(paths.table("quarantine"))
     assert rows(quarantine, "event_id") == [("e4",), ("next",), (None,)]
     assert quarantine.filter(F.col("ingested_at").isNull()).count() == 0
+    assert rows(quarantine.filter("event_id = 'e4'"), "raw_event_timestamp") == [("not a time",)]
+    assert rows(late_events(bronze, silver), "event_id") == [("late",)]
     enriched = spark.read.parquet(paths.table("enriched"))
     assert rows(enriched, "event_id", "segment", "account_count", "total_balance") == [
         ("e1", "MASS", 2, dec("3.50")), ("e2", None, None, None), ("ok", "MASS", 2, dec("3.50")),
@@ -103,6 +106,9 @@ def test_enrichment_keeps_one_row_per_event(spark, context):
     assert got.count() == 60
     assert got.filter("segment is not null").count() == 40
     assert rows(account_context(accounts)) == [("c1", 2, dec("3.50"))]
+    old = accounts.withColumn("snapshot_date", F.lit("2025-07-31")).withColumn("balance", F.lit(9))
+    daily = old.unionByName(accounts.withColumn("snapshot_date", F.lit("2025-08-01")))
+    assert rows(account_context(daily)) == [("c1", 2, dec("3.50"))]
 
 
 def test_tiers(spark):
