@@ -19,10 +19,11 @@ from bankflow.operators.locations import assign_city
 from bankflow.operators.quality import partition_counts
 from bankflow.plans.account_snapshot import preview, run_account_snapshot
 from bankflow.plans.fraud import fraud_alerts
-from bankflow.plans.scorecard import order_scorecard, scorecard, scorecard_month, scorecard_summary
+from bankflow.plans.scorecard import scorecard, scorecard_month, scorecard_summary
 from bankflow.session import build_session
 from bankflow.sinks import export_csv, upsert
 from bankflow.sources import read_csv, read_jdbc, read_jdbc_window, read_snapshot_day, read_snapshots
+from bankflow.sources.jdbc import JdbcPartition
 
 LAYOUTS = {
     "customers": schemas.CUSTOMERS,
@@ -44,7 +45,19 @@ class Tables:
             return read_csv(self.spark, f"{self.args.data_dir}/{name}.csv", LAYOUTS[name])
         if self.args.source == "catalog":
             return self.spark.table(".".join(filter(None, (self.args.database, name))))
-        return read_jdbc(self.spark, table=name, **credentials())
+        return read_jdbc(
+            self.spark, table=name, partition=self.partition_of(name), **credentials()
+        )
+
+    def partition_of(self, name: str) -> JdbcPartition | None:
+        """The range split given for a table; transactions may not be read by one task."""
+        for text in self.args.jdbc_partition or ():
+            table, column, lower, upper, count = text.split(",")
+            if table == name:
+                return JdbcPartition(column, lower, upper, int(count))
+        if name == "transactions":
+            raise ValueError("give --jdbc-partition transactions,<column>,<lower>,<upper>,<count>")
+        return None
 
     def transactions_of(self, day: str) -> DataFrame:
         """One day of transactions; a database filters it at the source."""
@@ -105,8 +118,8 @@ def _scorecard_inputs(spark: SparkSession, args: argparse.Namespace) -> tuple[Da
 
 
 def job_scorecard(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = order_scorecard(scorecard(*_scorecard_inputs(spark, args)))
-    rows.write.mode("overwrite").parquet(args.output_path)
+    rows = scorecard(*_scorecard_inputs(spark, args))
+    rows.write.mode("overwrite").partitionBy("month_start").parquet(args.output_path)
 
 
 def job_scorecard_month(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -147,6 +160,10 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--source", choices=["local", "catalog", "jdbc"], default="local")
             sub.add_argument("--data-dir", default="data/raw")
             sub.add_argument("--database", help="schema of the catalog tables")
+            sub.add_argument(
+                "--jdbc-partition", action="append", metavar="TABLE,COLUMN,LOWER,UPPER,COUNT",
+                help="parallel range read of a database table; required for transactions",
+            )
         return sub
 
     sub = add("snapshot", job_snapshot)

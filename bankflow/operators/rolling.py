@@ -93,9 +93,9 @@ def rolling_totals(
     hot_part = timed.join(hot, is_hot, "left_semi")
     output = [*rows.columns, "window_rows", "window_sum"]
 
-    cold_result = _running(
-        _marks(cold_rows.withColumn("_rows", F.lit(1)), key, stay), [key], gap
-    ).select(*output)
+    # Dealt out by key before rows become two marks each: the running sums keep this partitioning.
+    dealt = cold_rows.withColumn("_rows", F.lit(1)).repartition(key)
+    cold_result = _running(_marks(dealt, key, stay), [key], gap).select(*output)
 
     instants = hot_part.groupBy(key, "_at").agg(
         F.count("*").alias("_rows"), F.sum("_amount").cast(_SUM_TYPE).alias("_amount")

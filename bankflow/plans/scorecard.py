@@ -104,7 +104,7 @@ def scorecard_month(
     scores: DataFrame,
     run_month: str,
 ) -> DataFrame:
-    """Scorecard rows of one month, reading that month and the one before.
+    """Scorecard rows of one month: its transactions, and snapshots of it and of the month before.
 
     A missing month before gives a NULL previous balance. Rows have the types of the gold table.
     """
@@ -114,7 +114,7 @@ def scorecard_month(
         report_months(snapshots, run_month),
         snapshots.filter(month_range("snapshot_date", run_month)),
         accounts,
-        transactions.filter(month_range("txn_date", run_month)),
+        transactions.filter(month_range("txn_date", run_month, back=0)),
         scores.filter(F.col("score_date") < F.lit(shift_month(run, 1))),
         guard="nonzero",
     ).filter(F.col("month_start") == F.lit(run))

@@ -342,7 +342,8 @@ select month_start, customer_id, {", ".join(_COUNTS)} from activity"""
         *SNAPSHOT_FX,
     )
     quotients = ", ".join(
-        f"case when rows_{c} > 0 then cast(sum_{c} as double) / rows_{c} end as avg_{c}_amount"
+        f"case when rows_{c} > 0 then round(cast(sum_{c} as double) / rows_{c}, 6) end "
+        f"as avg_{c}_amount"
         for c in _NAMES
     )
     sql["channel_avg_amount"] = fx(
@@ -429,6 +430,8 @@ select customer_id, txn_id, cast(amount as double) as amount, window_rows,
   cast(window_sum as double) as window_sum from means""",
         *EVENT_FX,
     )
+    for name in ("rolling_count_1h", "rolling_average_days"):
+        sql[f"{name}_sliced"] = sql[name]
     fraud = f"with {FRAUD_CTES.strip()}"
     sql["fraud_high_frequency"] = fx(
         f"""{fraud} select customer_id, alert_date, max_transactions,
@@ -487,7 +490,8 @@ from events group by 1, 2"""
         "fx_transactions",
     )
     sql["transactions_rejected"] = fx(
-        f"""select {TXN_COLUMNS}, 'channel is unknown' as reason
+        f"""select {TXN_COLUMNS}, cast(amount as varchar) as raw_amount,
+  'channel is unknown' as reason
 from fx_transactions where not ({GOOD_TXN})""",
         "fx_transactions",
     )
@@ -576,6 +580,9 @@ from paired where previous_balance is not null
         "fx_snapshots",
         "fx_transactions",
     )
+    sql["rule_balance_breaks_days"] = (
+        f"select * from ({sql['rule_balance_breaks']}) b where snapshot_date - previous_date = 1"
+    )
     sql["rule_duplicate_customers"] = fx(
         "select nik, count(*) as customers from fx_kyc group by nik having count(*) > 1", "fx_kyc"
     )

@@ -185,17 +185,12 @@ def channel_amount_sums(bank: Bank) -> DataFrame:
 
 @register
 def channel_avg_amount(bank: Bank) -> DataFrame:
-    """Unrounded means, as the double quotient of exact sums and counts."""
-    monthly = activity.monthly_activity(bank.transactions, bank.accounts)
-    return monthly.select(
+    """Unrounded means, compared at six fractional digits."""
+    means = activity.channel_avg(bank.transactions, bank.accounts)
+    return means.select(
         "month_start",
         "customer_id",
-        *[
-            (F.col(f"sum_{c}").cast("double") / F.nullif(f"rows_{c}", F.lit(0))).alias(
-                f"avg_{c}_amount"
-            )
-            for c in ("mobile_app", "web", "qris", "atm_network", "auto_debit")
-        ],
+        *[F.round(c, 6).alias(c) for c in activity.CHANNEL_MEANS],
     )
 
 
@@ -367,6 +362,20 @@ def rolling_average_days(bank: Bank) -> DataFrame:
     return rolled.select("customer_id", "txn_id", "amount", "window_rows", "window_sum")
 
 
+@register
+def rolling_count_1h_sliced(bank: Bank) -> DataFrame:
+    """Every key treated as a hot one."""
+    return detectors.rolling_count(bank.txn_events, bank.event_accounts, hot_rows=0)
+
+
+@register
+def rolling_average_days_sliced(bank: Bank) -> DataFrame:
+    rolled = detectors.rolling_average_before(
+        bank.txn_events, bank.event_accounts, days=DAYS, hot_rows=0
+    )
+    return rolled.select("customer_id", "txn_id", "amount", "window_rows", "window_sum")
+
+
 @register
 def fraud_high_frequency(bank: Bank) -> DataFrame:
     return detectors.high_frequency(bank.txn_events, bank.event_accounts, min_count=MIN_COUNT)
@@ -432,7 +441,7 @@ def _raw_event_stream(bank: Bank) -> DataFrame:
 def _run_stream(bank: Bank) -> stream.ClickstreamPaths:
     def context() -> tuple[DataFrame, DataFrame]:
         profile = bank.customers.join(bank.kyc.select("customer_id", "risk_score"), "customer_id")
-        return profile, bank.accounts
+        return profile, bank.snapshots
 
     return stream.run_clickstream(
         bank.spark,
@@ -453,7 +462,9 @@ def events_clean(bank: Bank) -> DataFrame:
 @register
 def events_quarantine(bank: Bank) -> DataFrame:
     paths = _run_stream(bank)
-    return bank.spark.read.parquet(paths.table("quarantine")).drop("ingested_at")
+    return bank.spark.read.parquet(paths.table("quarantine")).drop(
+        "ingested_at", "raw_event_timestamp"
+    )
 
 
 @register
@@ -484,7 +495,7 @@ def transactions_clean(bank: Bank) -> DataFrame:
 @register
 def transactions_rejected(bank: Bank) -> DataFrame:
     _, rejected = clean.clean_transactions(bank.transactions)
-    return rejected
+    return rejected.drop("raw_txn_date")
 
 
 @register
@@ -560,6 +571,11 @@ def rule_balance_breaks(bank: Bank) -> DataFrame:
     return rules.balance_breaks(_snapshot_history(bank), consecutive_days=False)
 
 
+@register
+def rule_balance_breaks_days(bank: Bank) -> DataFrame:
+    return rules.balance_breaks(_snapshot_history(bank))
+
+
 @register
 def rule_duplicate_customers(bank: Bank) -> DataFrame:
     return rules.duplicate_customers(bank.kyc, "nik")

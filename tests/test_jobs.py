@@ -99,3 +99,16 @@ def test_arguments(monkeypatch):
         monkeypatch.delenv(key, raising=False)
     with pytest.raises(ValueError, match="JDBC_URL"):
         jobs.credentials()
+
+
+def test_database_tables_are_read_in_parallel():
+    split = "transactions,txn_date,2025-08-01,2025-09-01,12"
+    args = jobs.parser().parse_args(["fraud", "--source", "jdbc", "--locations", "l", "--output-path", "o",
+                                     "--jdbc-partition", split])
+    found = jobs.Tables(None, args).partition_of("transactions")
+    assert (found.column, found.lower, found.upper, found.count) == (
+        "txn_date", "2025-08-01", "2025-09-01", 12)
+    assert jobs.Tables(None, args).partition_of("accounts") is None
+    args.jdbc_partition = None
+    with pytest.raises(ValueError, match="--jdbc-partition"):
+        jobs.Tables(None, args).partition_of("transactions")
