@@ -2,8 +2,9 @@
 
 Shingles are hashed into groups. The counts of a document's groups are a point; the overlap of two
 documents is at most the sum of the smaller counts, and that of two boxes of points at most the sum of the
-smaller upper bounds. R-trees over the points are joined by this bound and surviving pairs are verified on
-the shingles.
+smaller upper bounds. R-trees over the points are joined by this bound, first without texts: the points alone
+leave out the documents that no other document of their block can be linked with. Pairs that survive are
+verified on the shingles.
 
 No tree holds the whole corpus. Documents meet in a block only if a whole group of shingles is equal: two
 linked documents differ in fewer shingles than there are groups, so one group at least is untouched. The
@@ -26,6 +27,7 @@ from bankflow.llm.components import components
 CLASS_STEP = 1.6
 SEEDS = 8
 BLOCK_DOCS = 1_500
+GROUP_DOCS = 150
 C1, C2, C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407))
 
 
@@ -133,19 +135,38 @@ class Forest:
             self.label[self.label == max(a, b)] = min(a, b)
 
 
-def join_sets(sets: list[np.ndarray], forest: Forest, percent: int, leaf: int = 16) -> None:
-    """Unite all linked sets: R-tree self-join by summed minima, then verification."""
-    sizes = np.array([len(s) for s in sets])
-    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, sizes.max()) / 8)), 5, 10))
-    shift = np.uint64(64 - int(np.log2(groups)))
-    points = np.zeros((len(sets), groups), np.int32)
-    for i, s in enumerate(sets):
-        points[i] = np.bincount((s >> shift).astype(np.int64), minlength=groups)
-    root = Box(points, sizes, np.arange(len(sets)), leaf)
+def group_count(n: int) -> int:
+    """Number of groups for n shingles: a power of two, about four shingles a group."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(1, n) / 4)), 5, 12))
+
+
+def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((shingles >> np.uint64(64 - int(np.log2(groups)))).astype(np.int64), minlength=groups)
+
+
+def packed_counts(shingles: np.ndarray) -> bytes:
+    """A set's count vector in one byte a group, or four where a count is beyond 255."""
+    counts = count_vector(shingles, group_count(len(shingles)))
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked_counts(packed: bytes, n: int, groups: int) -> np.ndarray:
+    """Count vector of a set of n shingles, added up to ``groups`` groups."""
+    own = group_count(n)
+    counts = np.frombuffer(packed, np.uint8 if len(packed) == own else np.uint32)
+    return counts.reshape(groups, -1).sum(axis=1)
+
+
+def open_leaves(points: np.ndarray, sizes: np.ndarray, percent: int, settled, leaf: int = 16):
+    """R-tree self-join by summed minima: rows of two leaves and which of their pairs may be linked.
+
+    Boxes for whose rows ``settled(rows, others)`` holds are passed over.
+    """
+    root = Box(points, sizes, np.arange(len(sizes)), leaf)
     stack = [(root, root)]
     while stack:
         a, b = stack.pop()
-        if np.minimum(a.high, b.high).sum() < needed(a.least, b.least, percent):
+        if np.minimum(a.high, b.high).sum() < needed(a.least, b.least, percent) or settled(a.rows, b.rows):
             continue
         if a.children or b.children:
             if a is b:
@@ -155,11 +176,25 @@ def join_sets(sets: list[np.ndarray], forest: Forest, percent: int, leaf: int =
             else:
                 stack += [(a, y) for y in b.children]
             continue
-        rows, others = a.rows, b.rows
-        most = np.minimum(points[rows][:, None, :], points[others][None, :, :]).sum(axis=2)
-        open_pairs = most >= needed(sizes[rows][:, None], sizes[others][None, :], percent)
-        open_pairs &= forest.label[rows][:, None] != forest.label[others][None, :]
-        for x, y in zip(*np.nonzero(open_pairs)):
+        most = np.minimum(points[a.rows][:, None, :], points[b.rows][None, :, :]).sum(axis=2)
+        yield a.rows, b.rows, most >= needed(sizes[a.rows][:, None], sizes[b.rows][None, :], percent)
+
+
+def join_sets(sets: list[np.ndarray], forest: Forest, percent: int) -> None:
+    """Unite all linked sets: the pairs that the R-tree leaves open are verified."""
+    sizes = np.array([len(s) for s in sets])
+    groups = group_count(sizes.max())
+    points = np.zeros((len(sets), groups), np.int32)
+    for i, s in enumerate(sets):
+        points[i] = count_vector(s, groups)
+
+    def settled(rows, others):
+        label = forest.label[rows[0]]
+        return (forest.label[rows] == label).all() and (forest.label[others] == label).all()
+
+    for rows, others, may in open_leaves(points, sizes, percent, settled):
+        may &= forest.label[rows][:, None] != forest.label[others][None, :]
+        for x, y in zip(*np.nonzero(may)):
             i, j = int(rows[x]), int(others[y])
             if forest.label[i] == forest.label[j]:
                 continue
@@ -168,6 +203,28 @@ def join_sets(sets: list[np.ndarray], forest: Forest, percent: int, leaf: int =
                 forest.unite(i, j)
 
 
+def block_partners(table: pa.Table, percent: int) -> pa.Table:
+    """Members that the summed minima leave a partner in their block."""
+    hubs, ids, sizes = (np.array(table[c].to_pylist(), np.int64) for c in ("hub", "id", "n"))
+    packed = table["counts"]
+    out = []
+    order = np.argsort(hubs, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(hubs[order])) + 1):
+        n = sizes[rows]
+        groups = group_count(n.min())
+        points = np.zeros((len(rows), groups), np.int32)
+        for i, r in enumerate(rows):
+            points[i] = unpacked_counts(packed[int(r)].as_py(), int(n[i]), groups)
+        found = np.zeros(len(rows), bool)
+        for a, b, may in open_leaves(points, n, percent, lambda a, b: found[a].all() and found[b].all()):
+            may &= a[:, None] != b[None, :]
+            found[a] |= may.any(axis=1)
+            found[b] |= may.any(axis=0)
+        out.append(rows[found])
+    kept = np.concatenate(out)
+    return pa.table({"id": pa.array(ids[kept], pa.int64()), "hub": pa.array(hubs[kept], pa.int64())})
+
+
 def block_links(table: pa.Table, width: int, percent: int) -> pa.Table:
     """Root of every document within each block of one group; ``linked`` rows start as one component."""
     shingler = Shingler(width)
@@ -186,6 +243,19 @@ def block_links(table: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({n: pa.array([o[i] for o in out], pa.int64()) for i, n in enumerate(("hub", "id", "root"))})
 
 
+def with_partners(members: DataFrame, vectors: DataFrame, percent: int, block_docs: int) -> DataFrame:
+    """``members`` (``id, hub``) without those that no other member of their block can be linked with.
+
+    ``vectors`` has ``id, n, counts``; no text is read. Blocks over ``block_docs`` documents stay whole.
+    """
+    sized = members.join(members.groupBy("hub").agg(F.count("*").alias("size")), "hub")
+    groups = max(1, members.count() // GROUP_DOCS)
+    small = sized.where(F.col("size") <= block_docs).withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
+    rows = vectors.join(small.hint("merge"), "id").select("group", "hub", "id", "n", "counts")
+    kept = rows.groupBy("group").applyInArrow(lambda table: block_partners(table, percent), "id long, hub long")
+    return kept.distinct().unionByName(sized.where(F.col("size") > block_docs).select("id", "hub"))
+
+
 def links_between(docs: DataFrame, members: DataFrame, width: int, percent: int, block_docs: int) -> DataFrame:
     """Edges ``a, b`` that connect all linked documents of the blocks in ``members`` (``id, hub``).
 
@@ -194,7 +264,7 @@ def links_between(docs: DataFrame, members: DataFrame, width: int, percent: int,
     parts, part by part. So no group grows with a block.
     """
     sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
-    groups = max(1, members.count() // block_docs)
+    groups = max(1, members.count() // GROUP_DOCS)
     parts = F.ceil(F.col("size") / block_docs).cast("int")
     sized = members.join(sizes, "hub").withColumn("parts", parts)
     own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -281,12 +351,13 @@ def near_duplicates(
                         labels = ["doc_id", "set", "keys"]
                     else:
                         arrays.append(pa.array([len(s) for s in sets], pa.int64()))
-                        labels = ["doc_id", "set", "n"]
+                        arrays.append(pa.array([packed_counts(s) for s in sets], pa.binary()))
+                        labels = ["doc_id", "set", "n", "counts"]
                     yield pa.RecordBatch.from_arrays(arrays, names=labels)
 
         return run
 
-    sets = stage(rows.mapInArrow(summarise(False), "doc_id long, set binary, n long"), "sets")
+    sets = stage(rows.mapInArrow(summarise(False), "doc_id long, set binary, n long, counts binary"), "sets")
     classes = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
     keyed = rows.mapInArrow(summarise(True), "doc_id long, set binary, keys array<long>")
     owners = classes.withColumnRenamed("set", "own")
@@ -297,7 +368,9 @@ def near_duplicates(
     same = W.partitionBy("key")
     met = dealt.select("id", F.min("id").over(same).alias("hub"), F.max("id").over(same).alias("top"))
     members = stage(met.where(F.col("hub") < F.col("top")).select("id", "hub").distinct(), "blocks")
-    roots = components(links_between(rows, members, width, percent, block_docs))
+    vectors = sets.where(F.col("n") > 0).select(F.col("doc_id").alias("id"), "n", "counts")
+    open_members = stage(with_partners(members, vectors, percent, block_docs), "open-blocks")
+    roots = components(links_between(rows, open_members, width, percent, block_docs))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         F.col("set").alias("own"), F.coalesce("root", "rep").alias("component_id")
     )
