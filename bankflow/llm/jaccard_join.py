@@ -279,6 +279,7 @@ def links_between(docs: DataFrame, members: DataFrame, width: int, percent: int,
         "group", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("hub"), F.lit(groups))).otherwise(F.col("hub"))
     )
     texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = stage(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "open-texts")
     rows = texts.join(placed.hint("merge"), "id").withColumn("linked", F.lit(False))
     columns = ["group", "part", "other", "hub", "id", "linked", "text"]
     schema = "hub long, id long, root long"
