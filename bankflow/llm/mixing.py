@@ -1,13 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
 Tokens are summed by cell (source, language, topic). The cells' weights are raked to one marginal after
-the other until all fit, and documents are then drawn with the probability that gives every cell its
-weight. Only the raking residual, one number, reaches the driver.
+the other until all fit, and documents are then drawn so often that every cell gets its weight of a token
+budget; where that is more than a cell has, its documents are repeated. Only the raking residual, one
+number, reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,13 +21,17 @@ MAX_BROADCAST_CELLS = 100_000
 
 @dataclass(frozen=True)
 class Mix:
-    """Targets by dimension: value to share. Dimensions without targets get their token shares tempered."""
+    """Targets by dimension: value to share. Dimensions without targets get their token shares tempered.
+
+    ``token_budget`` is the expected number of tokens drawn; without one, as many as the table has.
+    """
 
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     temperature: float = 0.9
     tolerance: float = 1e-6
     max_rounds: int = 50
     seed: int = 17
+    token_budget: float | None = None
 
 
 def topic_of(text: Column) -> Column:
@@ -86,13 +91,15 @@ def rake(cells: DataFrame, dims: list[str], mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, dims: dict[str, Column], text: str = "text", mix: Mix = Mix()) -> DataFrame:
-    """Struct ``doc`` with the input columns, ``n_tokens, weight, probability, sampled`` and the dimensions.
-
-    Tokens are runs of characters other than white space. ``weight`` is the raked share of the row's cell
-    and ``probability`` that share over the cell's token share, scaled so that the most wanted cell is kept
-    whole; a cell without tokens has weight 0 and is kept, as it costs nothing. The draw hashes all input
-    columns, so it does not depend on partitions and repeated rows share their fate. Null dimension values
-    form cells of their own. An empty table gives an empty result.
+    """Struct ``doc`` with the input columns, ``n_tokens, weight, probability, copies, sampled`` and the dimensions.
+
+    Tokens are runs of characters other than white space. ``weight`` is the raked share of the row's cell.
+    ``probability`` is the expected number of copies: the cell's share of the token budget over its tokens,
+    above 1 where a cell has fewer tokens than its share. ``copies`` is its whole part and, by a draw, one
+    more for the fraction; ``sampled`` tells rows with a copy. So a rare cell is repeated and takes from the
+    others only what its own weight is worth. A cell without tokens has weight 0 and is kept once, as it costs
+    nothing. The draw hashes all input columns, so it does not depend on partitions and repeated rows share
+    their fate. Null dimension values form cells of their own. An empty table gives an empty result.
     """
     names = list(dims)
     rows = docs.select(
@@ -103,12 +110,14 @@ def mixed(docs: DataFrame, dims: dict[str, Column], text: str = "text", mix: Mix
     cells = rows.select(*[f"dim_{n}" for n in names], tokens.alias("tokens"))
     cells = cells.groupBy(*[f"dim_{n}" for n in names]).agg(F.sum("tokens").alias("tokens"))
     keys = [f"dim_{n}" for n in names]
-    keyed = Mix({f"dim_{k}": v for k, v in mix.targets.items()}, mix.temperature, mix.tolerance, mix.max_rounds, mix.seed)
+    keyed = replace(mix, targets={f"dim_{k}": v for k, v in mix.targets.items()})
     raked = rake(stage(cells, "cells"), keys, keyed)
-    ratio = F.col("weight") / F.col("tokens")
-    most = raked.select(F.max(ratio).alias("most")).scalar()
+    there = raked.select(F.sum("tokens").cast("double").alias("there")).scalar()
+    budget = there if mix.token_budget is None else F.lit(float(mix.token_budget))
+    fitted = raked.select(F.sum("weight").alias("fitted")).scalar()
+    rate = F.col("weight") / F.nullif(fitted, F.lit(0.0)) * budget / F.col("tokens")
     rates = raked.select(
-        *[F.col(k).alias(f"rate_{k}") for k in keys], "weight", F.least(ratio / most, F.lit(1.0)).alias("rate")
+        *[F.col(k).alias(f"rate_{k}") for k in keys], "weight", F.coalesce(rate, F.lit(0.0)).alias("rate")
     )
     match = F.lit(True)
     for k in keys:
@@ -116,11 +125,14 @@ def mixed(docs: DataFrame, dims: dict[str, Column], text: str = "text", mix: Mix
     small = raked.count() <= MAX_BROADCAST_CELLS
     joined = rows.join(F.broadcast(rates) if small else rates, match, "left")
     draw = F.pmod(F.xxhash64("doc", F.lit(mix.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    rate = F.coalesce("rate", F.lit(1.0))
+    copies = F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return joined.select(
         "doc",
         *[F.col(f"dim_{n}").alias(n) for n in names],
         tokens.alias("n_tokens"),
         F.coalesce("weight", F.lit(0.0)).alias("weight"),
-        F.coalesce("rate", F.lit(1.0)).alias("probability"),
-        (draw < F.coalesce("rate", F.lit(1.0))).alias("sampled"),
+        rate.alias("probability"),
+        copies.alias("copies"),
+        (copies > 0).alias("sampled"),
     )

@@ -38,15 +38,24 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the raked mix of sources, languages and topics."""
-    return mixed(docs, document_dimensions()).where("sampled").select("doc.*")
+    """The documents drawn for the raked mix of sources, languages and topics, one row a copy."""
+    drawn = mixed(docs, document_dimensions()).where("sampled")
+    return drawn.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of what is left; returns what the files hold, document by document."""
+    """Token shards of what is left, every copy of a document included; returns what they hold by document.
+
+    ``copies`` counts a document's copies in the files, and ``shard`` and ``start`` are those of its first.
+    Documents without an id are listed one by one.
+    """
     path = new_path(spark, "corpus-tokens")
     write_token_store(docs, path, tokenizer_file(), by_word=True)
-    return read_documents(spark, path)
+    held = read_documents(spark, path).withColumn("unnamed", F.when(F.col("doc_id").isNull(), F.col("start")))
+    listed = held.groupBy("doc_id", "n_tokens", "ids_crc32", "unnamed").agg(
+        F.min(F.struct("start", "shard")).alias("place"), F.count("*").alias("copies")
+    )
+    return listed.select("doc_id", "place.shard", "place.start", "n_tokens", "ids_crc32", "copies")
 
 
 STAGES = [
