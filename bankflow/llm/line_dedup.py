@@ -6,7 +6,8 @@ word is replaced), or if a variant of one is the other (a word is added). Varian
 keys; a second hash of the remaining words verifies the match. The earliest line stays.
 
 Only lines that can have a partner are expanded: one edit leaves the first or the last half of both lines
-untouched, so a line without a half in common with another needs no variants.
+untouched, so a line without a half in common with another needs no variants. Short lines may be joined as
+exact copies only.
 """
 
 from __future__ import annotations
@@ -39,15 +40,15 @@ def halves(words: list[bytes]) -> list[int]:
     return out
 
 
-def line_rows(doc_id, text: str | None, min_words: int) -> list[tuple]:
+def line_rows(doc_id, text: str | None, min_words: int, min_copy_words: int) -> list[tuple]:
     out = []
     for number, line in enumerate((text or "").split("\n")):
         words = line.encode().split()
-        if len(words) >= min_words:
+        if len(words) >= min_copy_words:
             digest = xxhash.xxh3_128_intdigest(b" ".join(words))
             out.append(
                 (doc_id, number, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63),
-                 len(words), halves(words))
+                 len(words), halves(words) if len(words) >= min_words else [])
             )
     return out
 
@@ -76,24 +77,30 @@ class Deletions:
 
 
 def removed_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    min_copy_words: int | None = None,
 ) -> DataFrame:
     """Lines to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, distance``.
 
     Lines are the parts of a text between line feeds, numbered from 0; order is by document id (null first)
     and line number. A line goes if an earlier line has the same words (distance 0) or is within one word
-    edit (distance 1); the earliest such line is named, equal ones first. Lines under ``min_words`` words,
-    blank ones too, always stay. Null and empty texts have no lines to remove. Equal lines at the same place of
-    repeated ids do not remove each other. An empty table gives an empty result. Ids are integers; other
+    edit (distance 1); the earliest such line is named, equal ones first. Lines under ``min_words`` words
+    have no edits, and those under ``min_copy_words`` (``min_words`` by default; 1 joins copies of every line that
+    is not blank, whatever its length) always stay, blank ones too. Null and empty texts have no lines to remove.
+    Equal lines at the same place of repeated ids do not remove each other. An empty table gives an empty result. Ids are integers; other
     columns do not matter.
     """
+    least = max(1, min_words if min_copy_words is None else min(min_words, min_copy_words))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def split(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 4_000_000):
-                found = [r for d, t in zip(ids[a:b], texts[a:b]) for r in line_rows(d, t, min_words)]
+                found = [r for d, t in zip(ids[a:b], texts[a:b]) for r in line_rows(d, t, min_words, least)]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                 names = ("doc_id", "line_no", "h1", "h2", "n", "halves")
                 yield pa.RecordBatch.from_arrays(

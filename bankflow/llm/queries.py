@@ -34,7 +34,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"), min_copy_words=1)
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

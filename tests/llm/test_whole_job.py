@@ -25,3 +25,12 @@ def test_a_stray_cell_does_not_shrink_the_others(spark):
     assert kept.columns == df.columns and kept.count() == sum(r["copies"] for r in got)
     held = corpus_pipeline.write_tokens(spark, kept, "").collect()
     assert {r["doc_id"]: r["copies"] for r in held} == {r["doc"]["doc_id"]: r["copies"] for r in got if r["sampled"]}
+
+
+def test_copies_of_short_lines_go(spark, tmp_path):
+    url = "https://example.org/" + "x" * 300
+    rows = [(1, f"这是一个没有空格的句子\n{url}\n\nx y\na b c"), (2, f"{url}\n这是一个没有空格的句子\n\nx z\na b d"), (3, "x  y\n \nz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 0, 1, 1, 0), (2, 1, 1, 0, 0), (2, 4, 1, 4, 1), (3, 0, 1, 3, 0)}
