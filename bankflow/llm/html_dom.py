@@ -33,8 +33,11 @@ CLOSES = {
 }
 
 
+BARE = "#text"
+
+
 class Node:
-    """A block element; ``runs`` are its own pieces of text, numbered in page order over the whole page."""
+    """A block element, or (``BARE``) text between two of them that the page itself owns, as in an unwrapped body; ``runs`` are its own pieces of text, numbered in page order over the whole page."""
 
     __slots__ = ("tag", "tokens", "parent", "children", "runs", "chars", "links", "tags", "stops", "words")
 
@@ -58,18 +61,25 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
     texts: list[str] = []
     stack: list[tuple[str, Node | None]] = [("html", root)]  # inline elements have no node
     owner, pieces, in_link = root, [], 0
+    bare_links = bare_tags = 0  # since the last flush
 
     def flush():
-        nonlocal pieces
+        nonlocal pieces, bare_links, bare_tags
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                owner.runs.append(len(texts))
-                owner.chars += len(text)
-                owner.words += text.count(" ") + 1
-                owner.stops += text.count(".") + text.count(",") + text.count("?") + text.count("!")
+                node = owner
+                if owner is root:
+                    node = Node(BARE, [], root)
+                    node.links, node.tags = bare_links, bare_tags
+                    root.children.append(node)
+                node.runs.append(len(texts))
+                node.chars += len(text)
+                node.words += text.count(" ") + 1
+                node.stops += text.count(".") + text.count(",") + text.count("?") + text.count("!")
                 texts.append(text)
             pieces = []
+        bare_links = bare_tags = 0
 
     def pop_to(depth: int):
         nonlocal owner, in_link
@@ -80,8 +90,11 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
         owner = next(node for _, node in reversed(stack) if node is not None)
 
     def add(piece: str):
+        nonlocal bare_links
         pieces.append(piece)
-        if in_link:
+        if in_link and owner is root:
+            bare_links += len(piece)
+        elif in_link:
             owner.links += len(piece)
 
     page = page or ""
@@ -111,6 +124,7 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
                 pop_to(depth)
             continue
         owner.tags += 1
+        bare_tags += tag not in BLOCKS
         if tag == "br":
             add(" ")
         if tag in VOID:

@@ -1,6 +1,6 @@
 """Main text of HTML pages: gradient-boosted trees over DOM nodes and hierarchical decoding.
 
-Trees (Spark ML) score every block element from subtree density, attribute tokens, depth, position and
+Trees (Spark ML) score every block element, and every text that stands bare in the body, from subtree density, attribute tokens, depth, position and
 sibling statistics. The decoder then chooses, for every subtree, to keep it whole, to drop it whole or to
 decide by its children, so that no dropped element has a kept one inside. It maximises the summed
 log-probabilities. The model is trained on a bounded number of generated pages (``n_pages``), once a session.
@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankflow.llm.common import slices, with_fields
-from bankflow.llm.html_dom import Node, parse
+from bankflow.llm.html_dom import BARE, Node, parse
 from bankflow.llm.html_pages import Maker, labels, render
 
 GROUPS = [
     {"article", "main"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside"},
     {"form", "fieldset", "button", "label", "select", "option", "textarea", "legend", "search", "dialog"},
-    {"div", "section", "td", "th", "table", "tr", "tbody", "center"}, {"p", "pre", "blockquote"},
+    {"div", "section", "td", "th", "table", "tr", "tbody", "center"}, {"p", "pre", "blockquote", BARE},
     {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dt", "dd"},
 ]
 GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags}
@@ -85,7 +85,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             chars / max(1.0, words), chars / page, k / siblings, siblings,
             log(around[k - 1]) if k else -1, log(around[k + 1]) if k + 1 < siblings else -1,
             i / len(nodes), len(n.children), n.chars / max(1.0, chars),
-            sum(total[id(c)][0] for c in n.children if c.tag == "p") / max(1.0, chars),
+            sum(total[id(c)][0] for c in n.children if c.tag in ("p", BARE)) / max(1.0, chars),
         )
     return nodes, rows
 
@@ -129,9 +129,11 @@ def margins(trees: list, x: np.ndarray) -> np.ndarray:
 
 
 def training_rows(n_pages: int, seed: int) -> list[tuple[float, np.ndarray]]:
+    """Features of all labelled nodes of ``n_pages`` pages and a third as many unwrapped ones."""
     rows = []
-    for k in range(n_pages):
-        page = Maker(seed + k).page()
+    pages = [Maker(seed + k).page() for k in range(n_pages)]
+    pages += [Maker(seed + k).unwrapped_page() for k in range(n_pages, n_pages + -(-n_pages // 3))]
+    for page in pages:
         root, _ = parse(render(page))
         nodes, x = features(root)
         wanted = labels(page)
@@ -142,7 +144,7 @@ def training_rows(n_pages: int, seed: int) -> list[tuple[float, np.ndarray]]:
 
 
 def train(spark: SparkSession, n_pages: int = N_PAGES, seed: int = 1) -> list:
-    """Boosted trees from ``n_pages`` generated pages, as arrays that tasks can use."""
+    """Boosted trees from ``n_pages`` generated pages and unwrapped ones, as arrays that tasks can use."""
     key = (n_pages, seed)
     if key not in _models:
         rows = [(y, Vectors.dense(row)) for y, row in training_rows(n_pages, seed)]
@@ -178,8 +180,8 @@ def decode(root: Node, nodes: list[Node], margin: np.ndarray, switch: float = -0
             kept.update(n.runs)
         if decided != "drop":
             stack += [(c, "keep" if decided == "keep" else None) for c in n.children]
-    if not root.children:
-        kept.update(root.runs)  # a page of bare text
+    if all(c.tag == BARE for c in root.children):
+        kept.update(r for c in root.children for r in c.runs)  # a page of bare text
     return kept
 
 

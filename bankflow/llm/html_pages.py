@@ -1,7 +1,8 @@
 """Generated pages with known main text, on which the extractor's trees are trained.
 
 Layouts, class names and texts are drawn at random; the main part may be a semantic element, a named or an
-unnamed container, with adverts, notices and forms inside and reader comments behind it.
+unnamed container, with adverts, notices and forms inside and reader comments behind it. Unwrapped pages have
+theirs as bare text in the body.
 """
 
 from __future__ import annotations
@@ -119,6 +120,48 @@ class Maker:
             main = [r.choice(["div", "main", "section"]), r.choice(["container", "wrapper", "page", "layout", "row"]), None, main, *[self.other() for _ in range(r.randint(0, 2))]]
         return ["body", "", None, *before, main, *after]
 
+    def bare(self) -> list:
+        r = self.r
+        gap = r.choice([" ", "<br>", "<br><br>\n"])
+        parts = [self.sentence_text(1, r.choice([2, 4, 9])) for _ in range(r.choice([1, 1, 2, 4, 8]))]
+        if r.random() < 0.3:
+            parts.insert(r.randint(0, len(parts)), f"<b>{self.words(1, 4)}</b>")
+        return ["#text", "", 1, gap.join(parts)]
+
+    def bare_links(self) -> list:
+        parts = [f'<a href="/x">{self.words(1, 3)}</a>' for _ in range(self.r.randint(2, 7))]
+        return ["#text", "", 0, self.r.choice([" | ", " ", "<br>"]).join(parts)]
+
+    def unwrapped_page(self) -> list:
+        """Main text directly in the body, cut by other blocks; adjoining bare texts would be one."""
+        r = self.r
+        blocks = [self.bare_links()] if r.random() < 0.3 else []
+        if r.random() < 0.5:
+            blocks.append(self.named(["header", "div"], HEAD, 0, [["p", "", 0, self.words(1, 6)]]))
+        if r.random() < 0.5:
+            blocks.append(["nav", "", 0, self.links(3, 8)])
+        if r.random() < 0.7 or blocks and blocks[-1][0] == "#text":
+            blocks.append([r.choice(["h1", "h2"]), "", 1, self.words(2, 12)])
+        for _ in range(r.choice([1, 1, 2, 3, 5])):
+            if blocks and blocks[-1][0] == "#text":
+                kind = r.randrange(5)
+                if kind == 0:
+                    blocks.append(self.other())
+                elif kind == 1:
+                    blocks.append(["ul", "", 1, *[["li", "", 1, self.sentence_text(1, 2)] for _ in range(r.randint(2, 6))]])
+                elif kind == 2:
+                    blocks.append(["blockquote", "", 1, self.sentence_text(1, 4)])
+                else:
+                    blocks.append([r.choice(["p", "h2", "h3"]), "", 1, self.words(2, 12)])
+            blocks.append(self.bare())
+        blocks += [self.comments()] if r.random() < 0.2 else []
+        blocks += [self.other() for _ in range(r.randint(0, 2))]
+        if r.random() < 0.7:
+            blocks.append(self.named(["footer", "div"], FOOT, 0, ["© " + self.words(1, 4)]))
+        if blocks[-1][0] != "#text" and r.random() < 0.4:
+            blocks.append(self.bare_links() if r.random() < 0.5 else ["#text", "", 0, "© " + self.words(1, 6)])
+        return ["body", "", None, *blocks]
+
 
 def render(node: list | str) -> str:
     if isinstance(node, str):
@@ -126,12 +169,14 @@ def render(node: list | str) -> str:
     if node[0] == "a":
         return f'<a href="/x">{node[1]}</a>'
     tag, name, _, *children = node
+    if tag == "#text":
+        return "".join(children)
     attribute = f' class="{name}"' if name else ""
     return f"<{tag}{attribute}>{''.join(map(render, children))}</{tag}>"
 
 
 def labels(node: list | str) -> list[int | None]:
-    """Labels of the block elements below ``body`` in page order."""
+    """Labels of the block elements below ``body``, and of bare texts in it, in page order."""
     out: list[int | None] = []
     for child in node[3:]:
         if isinstance(child, list) and child[0] != "a":

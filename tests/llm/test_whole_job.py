@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bankflow.llm import mixing, queries
+from bankflow.llm import html_extract, mixing, queries
 
 
 def test_a_stray_cell_does_not_shrink_the_others(spark):
@@ -34,3 +34,25 @@ def test_copies_of_short_lines_go(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {(2, 0, 1, 1, 0), (2, 1, 1, 0, 0), (2, 4, 1, 4, 1), (3, 0, 1, 3, 0)}
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = html_extract.extract_main_text(df).select("doc.page_id", "text").collect()
+    return [r["text"] for r in sorted(got)]
+
+
+WORDS = "The first sentence stands here, as it should. A second one follows it, and it is longer than the first."
+
+
+def test_text_bare_in_the_body_is_judged(spark):
+    article = "<br><br>".join([WORDS, WORDS + " <b>Bold.</b>", WORDS])
+    want = " ".join([WORDS, WORDS, "Bold.", WORDS])
+    links = "<a href=/>Home</a> | <a href=/a>About us</a> | <a href=/b>Contact</a>"
+    pages = [
+        f"<html><head></head><body>{article}<div class=footer>me</div></body></html>",
+        f"<body><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav>{article}<footer>me</footer></body>",
+        f"<body>{links}<div class='cookie notice'><p>We use cookies.</p></div>{article}<div class=ad>Buy now.</div>",
+    ]
+    assert extracted(spark, pages) == [want] * len(pages)
+    assert extracted(spark, [f"{WORDS}<br>x"]) == [f"{WORDS} x"]
