@@ -7,12 +7,15 @@ import re
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
+# Elements left out with all they hold. Without an end tag, only the first ones reach to the end of the page.
+SCRIPTS = frozenset("script style".split())
+UNSEEN = SCRIPTS | frozenset("noscript template svg iframe title".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in UNSEEN}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -99,18 +102,30 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
 
     page = page or ""
     last = 0
-    for match in TOKEN.finditer(page):
+    endless: set[str] = set()  # no further end tag of these
+    while match := TOKEN.search(page, last):
         if match.start() > last:
             add(page[last : match.start()])
         last = match.end()
-        tag = match[3] or match[6]
+        tag = match[2] or match[5]
         if tag is None:
-            if match[1] and match[1].lower() not in ("svg",):
-                owner.tags += 1
             continue
         tag = tag.lower()
-        closing = match[2] or match[5]
-        attributes = (match[4] if match[3] else match[7]) or ""
+        closing = match[1] or match[4]
+        attributes = (match[3] if match[2] else match[6]) or ""
+        if tag in UNSEEN and not closing:
+            if tag not in ("svg", "title"):
+                owner.tags += 1
+            if tag not in SCRIPTS and attributes.endswith("/"):
+                continue
+            end = None if tag in endless else END[tag].search(page, last)
+            if end:
+                last = end.end()
+            elif tag in SCRIPTS:
+                last = len(page)
+            else:
+                endless.add(tag)
+            continue
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if not depth:
@@ -123,6 +138,8 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
             else:
                 pop_to(depth)
             continue
+        if tag == "head":
+            continue  # what it may hold has no text, so it ends where other content starts
         owner.tags += 1
         bare_tags += tag not in BLOCKS
         if tag == "br":

@@ -45,6 +45,23 @@ def extracted(spark, pages):
 WORDS = "The first sentence stands here, as it should. A second one follows it, and it is longer than the first."
 
 
+def test_heads_and_drawings_without_an_end_lose_no_text(spark):
+    article = f"<article><h1>Title</h1><p>{WORDS}</p><p>{WORDS}</p></article>"
+    body = f"<nav><ul><li><a href=/>Home</a></ul></nav>{article}<footer>me</footer>"
+    want = f"Title\n{WORDS}\n{WORDS}"
+    drawing = '<svg viewBox="0 0 1 1"/>'
+    pages = [
+        f"<html><head><title>T</title><script>'<p>no</p>'</script><body>{body}</body></html>",
+        f"<head><meta charset=utf-8><title>About <div></title><style>p > a</style>{body}",
+        f"<html><head><title>T</title></head><body>{drawing}{body}</body></html>",
+        f"<html><head></head><body>{body.replace('<h1>', '<h1>' + drawing)}<svg><path/></svg></body></html>",
+        f"<body><iframe src=x /><noscript>no{' ' * 9}</noscript>{body}<svg><text>no</text></svg><template>",
+        f"<body>{body}<script>open '<p>{WORDS}</p>'",
+    ]
+    assert extracted(spark, pages) == [want] * len(pages)
+    assert extracted(spark, [f"<head><title>T</title>{WORDS}"]) == [WORDS]
+
+
 def test_text_bare_in_the_body_is_judged(spark):
     article = "<br><br>".join([WORDS, WORDS + " <b>Bold.</b>", WORDS])
     want = " ".join([WORDS, WORDS, "Bold.", WORDS])
