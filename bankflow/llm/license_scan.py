@@ -126,13 +126,13 @@ def posting_column(index: list[dict]) -> Column:
     )
 
 
-def license_scan(docs: DataFrame, text: str = "text", min_score: float = 0.6) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", min_score: float = 0.0) -> DataFrame:
     """Struct ``doc`` with the input columns, and the findings of every row.
 
     Columns: ``n_words, n_base, first_word, last_word, base_labels, labels, score``. ``n_base`` counts the
     places of base phrases and ``score`` is the best IDF-weighted share of a verified template's words,
-    0 without one. A template of the method counts from ``min_score`` on; base phrases count always. Null
-    and empty texts have no words and no labels. No row is dropped, merged or shuffled.
+    0 without one. A verified key phrase gives its label, however common licence words are in the corpus;
+    with ``min_score`` a caller may ask for more of the wording. Base phrases count always. Null and empty texts have no words and no labels. No row is dropped, merged or shuffled.
     """
     index = postings(word_weights(docs, text))
     anchors = F.array(*[F.lit(w) for w in sorted({p["anchor"] for p in index})])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bankflow.llm import html_extract, mixing, queries
+from bankflow.llm import html_extract, license_scan, mixing, queries
 
 
 def test_a_stray_cell_does_not_shrink_the_others(spark):
@@ -73,3 +73,12 @@ def test_text_bare_in_the_body_is_judged(spark):
     ]
     assert extracted(spark, pages) == [want] * len(pages)
     assert extracted(spark, [f"{WORDS}<br>x"]) == [f"{WORDS} x"]
+
+
+def test_common_licences_keep_their_labels(spark):
+    texts = ["MIT License", "under CC BY-NC", "Mozilla Public License", "see the Apache License", "no words of that kind"]
+    df = spark.createDataFrame([(i, texts[i % 5]) for i in range(50)], "doc_id long, text string")
+    got = license_scan.license_scan(df).select("doc.doc_id", "labels").collect()
+    want = ["mit", "cc-by,cc-by-nc", "mpl-2.0", "apache", ""]
+    # the base phrase 'cc by' stands in 'CC BY-NC' too
+    assert {r["doc_id"]: r["labels"] for r in got} == {i: want[i % 5] for i in range(50)}
