@@ -19,22 +19,43 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).where("kept").select("doc.*")
 
 
+def with_own_ids(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``own_id``, one for each id and text.
+
+    It is ``doc_id`` but for further texts under one id (as from merged sources), which get a hash of both, set
+    above 2 ** 62 so that it is no smaller than usual ids. Null ids stay null.
+    """
+    print_of = F.xxhash64(F.col("text"))
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("shared_id"), print_of.alias("print"))
+    ends = named.groupBy("shared_id").agg(F.min("print").alias("first"), F.max("print").alias("last"))
+    shared = stage(ends.where(F.col("first") < F.col("last")).select("shared_id", "first"), "shared-ids")
+    joined = docs.join(shared, F.col("doc_id") == F.col("shared_id"), "left")
+    other = F.xxhash64("doc_id", print_of).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.col("first") != print_of, other).otherwise(F.col("doc_id").cast("long"))
+    return joined.select(*[docs[c] for c in docs.columns], own.alias("own_id"))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
 
-    Repeated rows of one id are one document. Rows without an id cannot be told apart and stay.
+    Repeated rows of one id and text are one document; different texts under one id are different documents.
+    Rows without an id cannot be told apart and stay.
     """
-    found = near_duplicates(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    keyed = with_own_ids(docs)
+    found = near_duplicates(keyed, doc_id="own_id")
+    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("own_id")).distinct()
+    left = keyed.join(gone.hint("merge"), "own_id", "left_anti")
+    named = left.where(F.col("own_id").isNotNull()).dropDuplicates(["own_id"]).select(*docs.columns)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark. Rows without an id share one fate."""
-    hits = benchmark_overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    """Documents without a passage of the benchmark, judged by id and text. Rows without an id share one fate."""
+    keyed = with_own_ids(docs)
+    overlaps = benchmark_overlaps(keyed, table(spark, sf_dir, "benchmark"), doc_id="own_id")
+    hits = overlaps.select(F.col("doc_id").alias("hit")).distinct()
+    left = keyed.join(hits, F.col("own_id").eqNullSafe(F.col("hit")), "left_anti")
+    return left.select(*docs.columns)
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

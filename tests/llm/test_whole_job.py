@@ -82,3 +82,18 @@ def test_common_licences_keep_their_labels(spark):
     want = ["mit", "cc-by,cc-by-nc", "mpl-2.0", "apache", ""]
     # the base phrase 'cc by' stands in 'CC BY-NC' too
     assert {r["doc_id"]: r["labels"] for r in got} == {i: want[i % 5] for i in range(50)}
+
+
+def test_different_texts_under_one_id_all_stay(spark, tmp_path):
+    body = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, body("a")), (1, body("b")), (1, body("b")), (2, body("b")), (3, body("c")), (1, None), (None, body("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, body("a")), (1, body("b")), (3, body("c")), (1, ""), (-1, body("d"))])
+    kept = corpus_pipeline.keep_one_of_each(spark, df, "")
+    got = sorted((-1 if r[0] is None else r[0], r[1] or "") for r in kept.collect())
+    # of (1, b) and (2, b) one stays
+    assert sorted((1, t) if (d, t) == (2, body("b")) else (d, t) for d, t in got) == want
+    bench = spark.createDataFrame([(1, body("b"))], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.keep_uncontaminated(spark, df, str(tmp_path)).collect()
+    assert sorted((-1 if r[0] is None else r[0], r[1] or "") for r in clean) == sorted(set(want) - {(1, body("b"))})
