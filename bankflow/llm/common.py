@@ -108,5 +108,13 @@ def slices(texts: Iterable[str | None], limit: int = 6_000_000) -> Iterator[tupl
         yield start, at
 
 
+def chunks(sizes: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of entries whose sizes add up to about ``step``."""
+    if len(sizes):
+        part = np.cumsum(sizes) // step
+        edges = np.flatnonzero(np.diff(part)) + 1
+        yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)])
+
+
 def with_fields(schema: T.StructType, fields: str) -> T.StructType:
     return T.StructType(list(schema) + list(T.StructType.fromDDL(fields)))
