@@ -15,15 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from bankflow import schemas
 from bankflow.functions import parse_day, parse_month
 from bankflow.operators.alerts import alert_counts, order_alerts
+from bankflow.operators.clean import clean_transactions
 from bankflow.operators.locations import assign_city
 from bankflow.operators.quality import partition_counts
 from bankflow.plans.account_snapshot import preview, run_account_snapshot
 from bankflow.plans.fraud import fraud_alerts
+from bankflow.plans.lineage import trace_upstream
 from bankflow.plans.scorecard import scorecard, scorecard_month, scorecard_summary
 from bankflow.session import build_session
 from bankflow.sinks import export_csv, upsert
+from bankflow.sinks.staged import Staging
 from bankflow.sources import read_csv, read_jdbc, read_jdbc_window, read_snapshot_day, read_snapshots
+from bankflow.sources.events import read_events_stream
 from bankflow.sources.jdbc import JdbcPartition
+from bankflow.streaming.clickstream import (
+    move_tiers,
+    run_clickstream,
+    start_clickstream,
+    wait_for_all,
+)
 
 LAYOUTS = {
     "customers": schemas.CUSTOMERS,
@@ -82,6 +92,7 @@ def job_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
         args.snapshot_date,
         args.output_path,
         args.audit_path,
+        lineage_path=args.lineage_path,
     )
     for check in report:
         print(f"{check['check']:24} {'PASS' if check['passed'] else 'FAIL'} {check['actual']}")
@@ -99,6 +110,53 @@ def job_export_snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
     export_csv(read_snapshot_day(spark, args.path, args.snapshot_date), args.output_path)
 
 
+def job_clean(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Valid transactions and rejected ones with their reasons, into two folders."""
+    raw = Tables(spark, args)("transactions")
+    valid, rejected = clean_transactions(raw)
+    valid.write.mode("overwrite").parquet(args.output_path)
+    rejected.write.mode("overwrite").parquet(args.rejected_path)
+    reasons = spark.read.parquet(args.rejected_path).groupBy("reason").count().orderBy("reason")
+    for row in reasons.toLocalIterator():
+        print(*row)
+
+
+def job_lineage(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Every column that one column comes from, over the edges that runs have recorded."""
+    edges = spark.read.parquet(args.edges).select(
+        "source_table", "source_column", "target_table", "target_column"
+    ).distinct()
+    found = trace_upstream(edges, args.table, args.column)
+    for row in found.orderBy("hop", "table_name", "column_name").toLocalIterator():
+        print(row["hop"], f"{row['table_name']}.{row['column_name']}")
+
+
+def job_stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The clickstream: what has arrived, or with ``--every`` without end (or for ``--stop-after`` seconds)."""
+    tables = Tables(spark, args)
+    options = dict(o.split("=", 1) for o in args.option or ())
+    raw = read_events_stream(spark, args.format, options, args.event_schema, args.input)
+
+    def context() -> tuple[DataFrame, DataFrame]:
+        snapshots = read_snapshots(spark, args.snapshots) if args.snapshots else tables("accounts")
+        return tables("customers"), snapshots
+
+    settings = {"delay": args.delay, "files_per_date": args.files_per_date}
+    if args.every is None:
+        run_clickstream(spark, raw, args.output_path, context, progress_path=args.progress_path, **settings)
+        return
+    queries = start_clickstream(
+        spark, raw, args.output_path, context, trigger={"processingTime": args.every}, **settings
+    )
+    wait_for_all(spark, queries, args.stop_after)
+
+
+def job_tiers(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Move tiered events whose age has crossed a limit."""
+    for day, old, new in move_tiers(spark, args.path, parse_day(args.as_of)):
+        print(day, old, "->", new)
+
+
 def job_cities(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = Tables(spark, args)
     assign_city(
@@ -132,12 +190,15 @@ def job_scorecard_month(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def job_fraud(spark: SparkSession, args: argparse.Namespace) -> None:
     tables = Tables(spark, args)
+    staging = Staging(spark)
     alerts = fraud_alerts(
         tables("transactions"),
         tables("accounts"),
         read_csv(spark, args.locations, schemas.TRANSACTION_LOCATIONS),
+        staging=staging,
     )
     order_alerts(alerts).write.mode("overwrite").parquet(args.output_path)
+    staging.drop()
     alert_counts(spark.read.parquet(args.output_path)).show()
 
 
@@ -170,6 +231,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--snapshot-date", required=True, type=_day)
     sub.add_argument("--output-path", required=True)
     sub.add_argument("--audit-path")
+    sub.add_argument("--lineage-path", help="table to which the run's column lineage is appended")
 
     sub = add("check-snapshot", job_check_snapshot, tables=False)
     sub.add_argument("--path", required=True)
@@ -179,6 +241,32 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--snapshot-date", required=True, type=_day)
     sub.add_argument("--output-path", required=True)
 
+    sub = add("clean", job_clean)
+    sub.add_argument("--output-path", required=True)
+    sub.add_argument("--rejected-path", required=True)
+
+    sub = add("lineage", job_lineage, tables=False)
+    sub.add_argument("--edges", required=True, help="lineage table that runs append to")
+    sub.add_argument("--table", required=True)
+    sub.add_argument("--column", required=True)
+
+    sub = add("stream", job_stream)
+    sub.add_argument("--format", default="kafka", help="kafka, or a file format")
+    sub.add_argument("--input", help="folder in which event files arrive")
+    sub.add_argument("--option", action="append", metavar="KEY=VALUE", help="option of the source")
+    sub.add_argument("--event-schema", default=schemas.APP_EVENTS)
+    sub.add_argument("--snapshots", help="snapshot table; without it the accounts are joined")
+    sub.add_argument("--output-path", required=True)
+    sub.add_argument("--delay", default="10 minutes", help="how late an event may come")
+    sub.add_argument("--files-per-date", type=int)
+    sub.add_argument("--progress-path", help="table of rows read and dropped, for runs without --every")
+    sub.add_argument("--every", help="go on without end in micro-batches this far apart")
+    sub.add_argument("--stop-after", type=float, help="seconds after which an endless run stops")
+
+    sub = add("tiers", job_tiers, tables=False)
+    sub.add_argument("--path", required=True)
+    sub.add_argument("--as-of", required=True, type=_day)
+
     sub = add("cities", job_cities)
     sub.add_argument("--home-share", type=int, default=95)
     sub.add_argument("--output-path", required=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankflow.functions import iso_text
+from bankflow.operators.ranking import with_row_number
 
 # Alert types and the keys of their details.
 HIGH_FREQUENCY = "HIGH_FREQUENCY_1H"
@@ -54,13 +55,19 @@ def union_alerts(*alerts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, alerts)
 
 
+def report_order() -> list[Column]:
+    """Date, customer, type."""
+    return [F.asc_nulls_last(c) for c in ("alert_date", "customer_id", "alert_type")]
+
+
 def order_alerts(alerts: DataFrame) -> DataFrame:
-    """Report order: date, customer, type."""
-    return alerts.orderBy(
-        F.asc_nulls_last("alert_date"),
-        F.asc_nulls_last("customer_id"),
-        F.asc_nulls_last("alert_type"),
-    )
+    """The alerts in report order."""
+    return alerts.orderBy(*report_order())
+
+
+def rank_alerts(alerts: DataFrame, *ties: Column) -> DataFrame:
+    """Adds ``row_number``, the place in the report; ``ties`` order alerts of one date, customer and type."""
+    return with_row_number(alerts, [*report_order(), *[t.asc_nulls_last() for t in ties], F.asc("details_json")])
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankflow.functions import decimal_ratio, money, rounded_ratio, sorted_set
@@ -75,8 +75,13 @@ def distinct_cities(
         .select("account_id", "alert_date", "merchant_city")
         .distinct()
     )
+    return cities_of(placed, accounts)
+
+
+def cities_of(placed: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Distinct cities per customer and day from distinct cities per account and day."""
     return (
-        with_customer(placed, accounts)
+        with_customer(placed.select("account_id", "alert_date", "merchant_city"), accounts)
         .select("customer_id", "alert_date", "merchant_city")
         .distinct()
         .groupBy("customer_id", "alert_date")
@@ -130,15 +135,29 @@ def high_amount(
     Transactions in the first ``warmup_days`` of the data set (by default ``days``) give no alert
     but count in later means. The comparison is ``amount * n > ratio * sum``, which is exact.
     """
+    rolled = rolling_average_before(transactions, accounts, days, hot_rows)
+    return amount_facts(
+        rolled.filter(is_high_amount(first_transaction(transactions), days, ratio, warmup_days))
+    )
+
+
+def is_high_amount(
+    first_txn: DataFrame, days: int, ratio: int | Decimal | str, warmup_days: int | None
+) -> Column:
+    """The rule of :func:`high_amount` on rows with ``window_rows`` and ``window_sum``."""
     warmup = days if warmup_days is None else warmup_days
-    start = first_transaction(transactions).scalar() + F.expr(f"interval '{int(warmup)}' day")
+    start = first_txn.scalar() + F.expr(f"interval '{int(warmup)}' day")
     factor = F.lit(Decimal(str(ratio)))
-    rolled = rolling_average_before(transactions, accounts, days, hot_rows)
-    return rolled.filter(
+    return (
         (F.col("window_rows") > 0)
         & (F.col("txn_date") >= start)
         & (F.col("amount") * F.col("window_rows") > factor * F.col("window_sum"))
-    ).select(
+    )
+
+
+def amount_facts(high: DataFrame) -> DataFrame:
+    """What the amount rule reports of its transactions."""
+    return high.select(
         "customer_id",
         F.to_date("txn_date").alias("alert_date"),
         "txn_id",

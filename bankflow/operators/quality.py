@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankflow.functions import money
@@ -97,6 +99,69 @@ def dq_report(
     )
 
 
+# Check, figure expected, figure found (None: zero), whether a failure stops the job.
+OBSERVED_CHECKS = (
+    ("row_count", "account_rows", "snapshot_rows", True),
+    ("null_account_id", None, "null_accounts", True),
+    ("unique_account_id", "snapshot_rows", "distinct_accounts", True),
+    ("amount_reconciliation", "transaction_total", "summary_total", True),
+    ("orphan_transactions", None, "orphans", False),
+)
+
+
+def account_summary(accounts: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Per account id: its rows in ``accounts``, and rows, ids and amount of its transactions.
+
+    Both sides are reduced by one aggregation, so the summary tells accounts without transactions,
+    transactions without an account and ids that occur twice apart, without a join.
+    """
+    known = accounts.select(
+        "account_id",
+        F.lit(1).alias("_account"),
+        F.lit(0).alias("_row"),
+        F.lit(None).cast("string").alias("_txn"),
+        F.lit(None).cast("decimal(15,2)").alias("_amount"),
+    )
+    moved = transactions.select(
+        "account_id",
+        F.lit(0).alias("_account"),
+        F.lit(1).alias("_row"),
+        F.col("txn_id").cast("string").alias("_txn"),
+        money("amount").alias("_amount"),
+    )
+    return known.unionByName(moved).groupBy("account_id").agg(
+        F.sum("_account").alias("account_rows"),
+        F.sum("_row").alias("txn_rows"),
+        F.count("_txn").alias("daily_txn_count"),
+        F.sum("_amount").alias("daily_net_amount"),
+    )
+
+
+def summary_figures() -> dict[str, Column]:
+    """Aggregates over :func:`account_summary`; a NULL id is never an account's."""
+    known = F.col("account_id").isNotNull() & (F.col("account_rows") > 0)
+    return {
+        "distinct_accounts": F.count_if(known),
+        "orphans": F.sum(F.when(known, 0).otherwise(F.col("txn_rows"))),
+        "summary_total": F.sum("daily_net_amount"),
+    }
+
+
+def observed_report(spark: SparkSession, figures: dict) -> DataFrame:
+    """The report of :func:`dq_report` from figures that were observed while tables were written."""
+
+    def value(name: str | None) -> Decimal:
+        return Decimal(0 if name is None else figures[name] or 0).quantize(Decimal("0.01"))
+
+    rows = []
+    for check, expected, actual, required in OBSERVED_CHECKS:
+        want, got = value(expected), value(actual)
+        rows.append((check, want, got, required, want == got))
+    return spark.createDataFrame(
+        rows, f"check string, expected {_TOTAL}, actual {_TOTAL}, required boolean, passed boolean"
+    )
+
+
 def enforce(report: DataFrame) -> list:
     """Raise :class:`QualityError` when a required check failed; return the report's few rows."""
     rows = report.collect()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bankflow.functions import mask_all, mask_but_last, money, month_of
 from bankflow.operators.activity import with_customer
 from bankflow.operators.balances import latest_per_month
+from bankflow.operators.groups import connected_groups
 from bankflow.operators.previous import previous_row
 from bankflow.schemas import INFLOW_TYPES, OUTFLOW_TYPES
 
@@ -129,6 +130,17 @@ def duplicate_customers(customers: DataFrame, key: str) -> DataFrame:
     )
 
 
+def duplicate_groups(customers: DataFrame, keys: tuple[str, ...] = ("nik", "phone")) -> DataFrame:
+    """Customers that share any of the identity columns, directly or through others, with their group.
+
+    Empty text identifies nobody, like NULL.
+    """
+    cleaned = customers.select(
+        "customer_id", *[F.nullif(F.trim(F.col(k).cast("string")), F.lit("")).alias(k) for k in keys]
+    )
+    return connected_groups(cleaned, "customer_id", list(keys))
+
+
 def mask_pii(customers: DataFrame) -> DataFrame:
     """National id hidden, phone readable in its last four digits only."""
     return customers.withColumn("nik", mask_all("nik")).withColumn(
@@ -151,3 +163,23 @@ def score_features(scores: DataFrame, schema: str, column: str = "features_used"
     return scores.withColumn("_features", F.from_json(column, schema)).select(
         *[c for c in scores.columns if c != column], "_features.*"
     )
+
+
+def feature_types(scores: DataFrame, column: str = "features_used") -> DataFrame:
+    """Every key of the JSON objects with the types of its values and their number; no schema is needed.
+
+    Types are those of the VARIANT type (a whole number is a BIGINT whatever its size). JSON that cannot be read
+    and values that are no objects count under a NULL key with the type of the whole value, NULL if unreadable.
+    """
+    parsed = scores.select(F.try_parse_json(F.col(column)).alias("_v"))
+    # The table function gives no row for a value without members.
+    members = parsed.lateralJoin(
+        parsed.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
+    )
+    whole = F.when(F.col("key").isNull() & F.col("_v").isNotNull(), F.col("_v"))
+    kind = F.schema_of_variant(F.coalesce(F.when(F.col("key").isNotNull(), F.col("value")), whole))
+    return (
+        members.filter("key is not null or pos is null or pos = 0")
+        .groupBy(F.col("key").alias("feature"), kind.alias("type"))
+        .agg(F.count("*").alias("values"))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankflow.functions import (
@@ -24,6 +24,7 @@ from bankflow.operators.activity import (
     monthly_activity,
 )
 from bankflow.operators.balances import month_balance_and_carried
+from bankflow.operators.ranking import with_row_number
 from bankflow.operators.scaffold import (
     assemble_month,
     customer_months,
@@ -139,9 +140,18 @@ def _with_ratios(facts: DataFrame, change_scale: int, utilisation_scale: int) ->
     )
 
 
+def report_order() -> list[Column]:
+    return [F.asc_nulls_last("month_start"), F.asc_nulls_last("customer_id")]
+
+
 def order_scorecard(rows: DataFrame) -> DataFrame:
     """Report order: month, then customer. A range sort of the whole result; use it for reports."""
-    return rows.orderBy(F.asc_nulls_last("month_start"), F.asc_nulls_last("customer_id"))
+    return rows.orderBy(*report_order())
+
+
+def rank_scorecard(rows: DataFrame) -> DataFrame:
+    """Adds ``row_number``, the place in the report. ``rows`` is computed twice; store it first if dear."""
+    return with_row_number(rows, report_order())
 
 
 def scorecard_summary(rows: DataFrame) -> DataFrame:

@@ -44,3 +44,18 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is on; nothing happens if it does not exist."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder, with those above it, on whatever file system it is on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a path; none if there is no such path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return [s.getPath().getName() for s in system.listStatus(target) if s.isDirectory()]

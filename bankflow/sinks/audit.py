@@ -20,6 +20,25 @@ def record_lineage(spark: SparkSession, path: str, edges: list[dict] | DataFrame
         _append(spark, path, edges, COLUMN_LINEAGE)
 
 
+def lineage_edges(
+    pipeline: str,
+    run_id: str,
+    target: str,
+    made_from: dict[str, tuple[str, tuple[str, ...]]],
+    source_system: str = "bank",
+) -> list[dict]:
+    """Edges of one run; ``made_from`` gives each target column its source table and columns."""
+    return [
+        {
+            "source_system": source_system, "source_table": table, "source_column": column,
+            "target_table": target, "target_column": name,
+            "pipeline_name": pipeline, "run_id": run_id,
+        }
+        for name, (table, columns) in made_from.items()
+        for column in columns
+    ]
+
+
 def _append(spark: SparkSession, path: str, rows: list[dict], ddl: str) -> None:
     from pyspark.sql.types import StructType
 

@@ -26,14 +26,24 @@ def snapshot_columns(df: DataFrame) -> DataFrame:
 
 
 def export_csv(
-    df: DataFrame, path: str, columns: list[str] | None = None, single_file: bool = True
+    df: DataFrame,
+    path: str,
+    columns: list[str] | None = None,
+    single_file: bool | None = None,
+    single_file_rows: int = 5_000_000,
 ) -> None:
-    """CSV with a header and a fixed column order.
+    """CSV with a header and a fixed column order, by default all snapshot columns.
 
-    ``single_file`` sends all rows through one task, as one file needs; leave it off for anything
-    that is not a small export.
+    A column that ``df`` lacks is an error: the readers of an export rely on every one. One file means that
+    one task writes all rows; that is done up to ``single_file_rows`` rows, or as ``single_file`` says.
     """
-    chosen = snapshot_columns(df) if columns is None else df.select(*columns)
+    wanted = column_names(SNAPSHOTS) if columns is None else columns
+    absent = [c for c in wanted if c not in df.columns]
+    if absent:
+        raise ValueError(f"columns to export are missing: {', '.join(absent)}")
+    chosen = df.select(*wanted)
+    if single_file is None:
+        single_file = chosen.limit(single_file_rows + 1).count() <= single_file_rows
     if single_file:
         chosen = chosen.repartition(1)
     chosen.write.mode("overwrite").option("header", True).csv(path)

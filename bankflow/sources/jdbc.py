@@ -63,7 +63,10 @@ def hourly_day_partition(day: str, column: str = "txn_date", count: int = 24) ->
 def window_of(table: DataFrame, day: str, status: str = "COMPLETED") -> DataFrame:
     """Transaction columns of one day and status. On a JDBC table Spark sends columns and both
     filters to the database."""
-    wanted = [c for c in column_names(TRANSACTIONS) if c in table.columns]
+    wanted = column_names(TRANSACTIONS)
+    absent = [c for c in wanted if c not in table.columns]
+    if absent:
+        raise ValueError(f"the transactions table lacks {', '.join(absent)}")
     return table.filter(in_day("txn_date", day) & (F.col("status") == status)).select(*wanted)
 
 

@@ -1,12 +1,16 @@
 """Clickstream: land, quarantine, clean, enrich, tier.
 
-Each stage is a query of its own with its own checkpoint and Spark's file sink, which commits a
-micro-batch once also after a failure. Invalid events leave before the deduplication, so NULL ids or
-times never reach its state.
+Landing has Spark's file sink, which commits a micro-batch once also after a failure. Landed events are
+then read once by a query that routes each micro-batch to quarantine, silver and the enriched table: every
+table has folders by batch, and a batch that is repeated after a failure replaces its own folders, so each
+event is in each table once. The stages can also run as queries of their own (``write_quarantine``,
+``write_events``).
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from bankflow.session import folders_in, make_folder, remove_path
+from bankflow.sinks.staged import Staging
 from bankflow.sources.events import KAFKA_PREFIX
 from bankflow.streaming.contract import (
     APP_EVENT_CONTRACT,
@@ -23,6 +29,7 @@ from bankflow.streaming.contract import (
     split_valid,
     validate_events,
 )
+from bankflow.streaming.progress import watched_progress
 
 # Age limits in days of the storage tiers.
 HOT_DAYS = 7
@@ -75,6 +82,24 @@ def late_events(
     return missing.groupBy("event_id").agg(first).select("e.*")
 
 
+def checked_events(
+    raw: DataFrame, contract: EventContract = APP_EVENT_CONTRACT, delay: str = "10 minutes"
+) -> DataFrame:
+    """Events with ``reason``: valid ones (NULL) without repeats, invalid ones as often as they came.
+
+    One pass for both: invalid events go through the deduplication with a key of their own and without
+    a time, so the watermark neither sees nor drops them, and their state is forgotten with the next batch.
+    """
+    checked = validate_events(raw, contract)
+    good = F.col("reason").isNull()
+    # A batch draws its ids from one seed, so a task that runs again draws the same ones.
+    own = F.concat(F.lit("invalid-"), F.expr("uuid()"))
+    keyed = checked.withColumn("_time", F.when(good, F.col(contract.time_column))).withColumn(
+        "_key", F.when(good, F.concat(F.lit("e-"), F.col("event_id").cast("string"))).otherwise(own)
+    )
+    return keyed.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key", "_time")
+
+
 def quarantined_events(
     raw: DataFrame, contract: EventContract = APP_EVENT_CONTRACT
 ) -> DataFrame:
@@ -97,17 +122,20 @@ def account_context(accounts: DataFrame) -> DataFrame:
 
 
 def enrich_events(
-    events: DataFrame, profile: DataFrame, accounts: DataFrame, salts: int = 8
+    events: DataFrame, profile: DataFrame, accounts: DataFrame, salts: int = 1
 ) -> DataFrame:
     """Events with segment, risk score and account context; unknown customers get NULLs.
 
-    Streaming joins have no runtime skew handling, so the customer side is repeated ``salts`` times
-    and a hot customer's events spread over as many tasks. Spark broadcasts the customer side by
-    itself where its size is under the broadcast limit.
+    Inside a routed micro-batch AQE splits a hot customer's events. A streaming join has no runtime skew
+    handling: there, ``salts`` repeats the customer side that many times and spreads a hot customer's
+    events over as many tasks. Spark broadcasts the customer side by itself where its size is under the
+    broadcast limit.
     """
     context = profile.select("customer_id", "segment", "risk_score").join(
         account_context(accounts), "customer_id", "left"
     )
+    if salts <= 1:
+        return events.join(context, "customer_id", "left")
     salted = context.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
@@ -129,13 +157,57 @@ def tier_events(events: DataFrame, as_of: date, time: str = "event_timestamp") -
 
 
 def write_tiers(events: DataFrame, path: str, as_of: date) -> None:
-    """Batch rewrite of events into folders by tier and date."""
+    """Batch write of events into folders by tier and date; dates that come again are replaced."""
     tiered = with_event_date(tier_events(events, as_of))
     tiered.hint("rebalance", F.col("tier"), F.col("event_date")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("tier", "event_date").parquet(path)
 
 
+def tier_of(day: date, as_of: date) -> str:
+    age = (as_of - day).days
+    return "hot" if age <= HOT_DAYS else "warm" if age <= WARM_DAYS else "cold"
+
+
+def tier_moves(spark: SparkSession, path: str, as_of: date) -> list[tuple[date, str, str]]:
+    """Dates that lie in another tier than on ``as_of``, with both tiers, found from folder names alone."""
+    moves = []
+    for folder in folders_in(spark, path):
+        tier = folder.removeprefix("tier=")
+        for name in folders_in(spark, f"{path}/{folder}") if tier != folder else ():
+            day = date.fromisoformat(name.removeprefix("event_date="))
+            if tier_of(day, as_of) != tier:
+                moves.append((day, tier, tier_of(day, as_of)))
+    return sorted(moves)
+
+
+def move_tiers(spark: SparkSession, path: str, as_of: date) -> list[tuple[date, str, str]]:
+    """Move the dates that have crossed an age limit, and no others; returns the moves.
+
+    The moved dates are read from their old folders and written to the new ones in one job each time, then
+    the old folders go. A run that was cut short is made up for by the next one: a date that lies in both
+    tiers is written again. Between the two steps a reader can see a moved date twice.
+    """
+    moves = tier_moves(spark, path, as_of)
+    if not moves:
+        return []
+    tables = spark.read.parquet(path)
+    leaving = F.lit(False)
+    for tier in sorted({old for _, old, _ in moves}):
+        days = [day for day, old, _ in moves if old == tier]
+        leaving = leaving | ((F.col("tier") == tier) & F.col("event_date").isin(days))
+    age = F.datediff(F.lit(as_of), F.col("event_date"))
+    moved = tables.filter(leaving).withColumn(
+        "tier", F.when(age <= HOT_DAYS, "hot").when(age <= WARM_DAYS, "warm").otherwise("cold")
+    )
+    moved.hint("rebalance", F.col("tier"), F.col("event_date")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("tier", "event_date").parquet(path)
+    for day, old, _ in moves:
+        remove_path(spark, f"{path}/tier={old}/event_date={day}")
+    return moves
+
+
 def _start(
     stream: DataFrame,
     path: str,
@@ -195,6 +267,71 @@ class ClickstreamPaths:
         return f"{self.folder}/_checkpoints/{name}"
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int, partitions: tuple[str, ...] = ()) -> None:
+    """Write one micro-batch; writing the same batch again replaces it and nothing else."""
+    rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*partitions, "batch_id").parquet(path)
+
+
+def spread_by_date(events: DataFrame, files_per_date: int | None) -> DataFrame:
+    """Each date's events in that many tasks, hence files; without a number they stay where they are."""
+    if not files_per_date:
+        return events
+    return events.repartition(
+        F.col("event_date"), F.pmod(F.xxhash64("event_id"), F.lit(files_per_date))
+    )
+
+
+def route_events(
+    bronze: DataFrame,
+    paths: ClickstreamPaths,
+    load_context: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
+    contract: EventContract = APP_EVENT_CONTRACT,
+    delay: str = "10 minutes",
+    files_per_date: int | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """One query from landed events to quarantine, silver and (with ``load_context``) the enriched table.
+
+    A micro-batch is stored once checked and then written to each table. The tables are written one after
+    the other: after a failure in between, the batch comes again with the same number and replaces what it
+    had written. ``load_context`` returns customer profile and accounts and is called for every batch.
+    """
+    spark = bronze.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        staging = Staging(spark)
+        checked = staging.write(batch, "routed")
+        valid, invalid = split_valid(checked, contract)
+        write_batch(
+            invalid.withColumn("ingested_at", F.current_timestamp()), paths.table("quarantine"), batch_id
+        )
+        clean = valid.drop(*[c for c in valid.columns if c.startswith(KAFKA_PREFIX)])
+        dated = with_event_date(clean, contract.time_column)
+        write_batch(spread_by_date(dated, files_per_date), paths.table("silver"), batch_id, ("event_date",))
+        if load_context:
+            enriched = enrich_events(dated, *load_context())
+            write_batch(
+                spread_by_date(enriched, files_per_date), paths.table("enriched"), batch_id, ("event_date",)
+            )
+        staging.drop()
+
+    return (
+        checked_events(bronze, contract, delay)
+        .writeStream.queryName(f"route-{uuid.uuid4().hex[:8]}")
+        .foreachBatch(write)
+        .option("checkpointLocation", paths.checkpoint("routed"))
+        .trigger(**(trigger or {"processingTime": "10 seconds"}))
+        .start()
+    )
+
+
+def read_table(spark: SparkSession, paths: ClickstreamPaths, name: str) -> DataFrame:
+    """A routed table without the number of the micro-batch that wrote a row."""
+    return spark.read.parquet(paths.table(name)).drop("batch_id")
+
+
 def run_clickstream(
     spark: SparkSession,
     raw: DataFrame,
@@ -203,42 +340,62 @@ def run_clickstream(
     contract: EventContract = APP_EVENT_CONTRACT,
     delay: str = "10 minutes",
     files_per_date: int | None = None,
+    progress_path: str | None = None,
 ) -> ClickstreamPaths:
-    """Process what has arrived: raw to bronze, invalid to quarantine, valid to silver, enriched.
+    """Process what has arrived: raw to bronze, then routed to quarantine, silver and enriched.
 
-    Every stage continues from its checkpoint, so calling this again takes up new events only.
-    ``load_context`` returns customer profile and accounts; it is called per run, so a run joins the
-    batch data of its time.
+    Both queries continue from their checkpoints, so calling this again takes up new events only.
+    ``load_context`` is called per batch, so a batch joins the customer data of its time. With
+    ``progress_path`` the run appends how many rows each query read and how many its watermark dropped.
     """
     paths = ClickstreamPaths(folder)
     now = {"availableNow": True}
+    with watched_progress(spark, progress_path) as watch:
+        watch.wait(land_events(raw, paths.table("bronze"), paths.checkpoint("bronze"), now))
+        bronze = _stream_table(spark, paths.table("bronze"), raw.schema)
+        watch.wait(route_events(bronze, paths, load_context, contract, delay, files_per_date, now))
+    return paths
 
-    land_events(
-        raw, paths.table("bronze"), paths.checkpoint("bronze"), now
-    ).awaitTermination()
+
+def start_clickstream(
+    spark: SparkSession,
+    raw: DataFrame,
+    folder: str,
+    load_context: Callable[[], tuple[DataFrame, DataFrame]],
+    contract: EventContract = APP_EVENT_CONTRACT,
+    delay: str = "10 minutes",
+    files_per_date: int | None = None,
+    trigger: dict | None = None,
+) -> list[StreamingQuery]:
+    """Both queries running side by side; wait for them with ``wait_for_all``."""
+    paths = ClickstreamPaths(folder)
+    make_folder(spark, paths.table("bronze"))
+    landing = land_events(raw, paths.table("bronze"), paths.checkpoint("bronze"), trigger)
     bronze = _stream_table(spark, paths.table("bronze"), raw.schema)
-    clean = clean_events(bronze, contract, delay)
-    side_by_side = [
-        write_quarantine(
-            quarantined_events(bronze, contract),
-            paths.table("quarantine"),
-            paths.checkpoint("quarantine"),
-            now,
-        ),
-        write_events(
-            clean, paths.table("silver"), paths.checkpoint("silver"), now, files_per_date
-        ),
-    ]
-    for query in side_by_side:
-        query.awaitTermination()
-    silver = _stream_table(
-        spark, paths.table("silver"), with_event_date(clean).schema
-    ).drop("event_date")
-    enriched = enrich_events(silver, *load_context())
-    write_events(
-        enriched, paths.table("enriched"), paths.checkpoint("enriched"), now, files_per_date
-    ).awaitTermination()
-    return paths
+    routing = route_events(bronze, paths, load_context, contract, delay, files_per_date, trigger)
+    return [landing, routing]
+
+
+def wait_for_all(spark: SparkSession, queries: list[StreamingQuery], seconds: float | None = None) -> None:
+    """Wait until every query has ended, or the time is up; a query that fails ends the others and raises."""
+    until = None if seconds is None else time.monotonic() + seconds
+    try:
+        while any(q.isActive for q in queries):
+            left = None if until is None else until - time.monotonic()
+            if left is not None and left <= 0:
+                return
+            spark.streams.resetTerminated()
+            for query in queries:
+                if not query.isActive and query.exception():
+                    raise query.exception()
+            spark.streams.awaitAnyTermination(min(left, 5) if left is not None else 5)
+        for query in queries:
+            if query.exception():
+                raise query.exception()
+    finally:
+        for query in queries:
+            if query.isActive:
+                query.stop()
 
 
 def _stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -78,6 +78,13 @@ GRID = """
 grid as (select m.month_start, c.customer_id from fx_customers c cross join months m)"""
 
 
+def _plain_time(column: str) -> str:
+    """A time as text without zeros at the end of the second's fraction."""
+    return f"regexp_replace(cast({column} as varchar), '[.]?0*$', '')" if column == "ts" else (
+        f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    )
+
+
 def _cents(column: str) -> str:
     return f"cast(cast({column} as decimal(20,2)) * 100 as hugeint)"
 
@@ -319,6 +326,13 @@ group by account_id""",
         *SNAPSHOT_FX,
     )
 
+    made_from = " union all ".join(
+        f"select 'transactions' as table_name, '{c}' as column_name, 1 as hop"
+        for c in ("amount", "account_id", "txn_date", "status")
+    )
+    sql["lineage_of_run"] = f"""{made_from} union all
+select 'orders', cast(o_orderkey as varchar), 2 from orders"""
+
     sql["latest_snapshot_per_month"] = fx(
         f"""with {LATEST.strip()}
 select month_start, snapshot_date, account_id, customer_id, account_type,
@@ -392,6 +406,12 @@ select month_start, customer_id, score_date,
     full = f"{CARD}select {_card_columns(4, 4)} from final"
     sql["customer_scorecard"] = fx(full, *CARD_FX)
     sql["scorecard_preview"] = fx(full + " order by month_start, customer_id limit 10", *CARD_FX)
+    sql["scorecard_rank"] = fx(
+        f"""{CARD}select month_start, customer_id, {FLAG} as risk_flag,
+  row_number() over (order by month_start nulls last, customer_id nulls last) as row_number
+from final""",
+        *CARD_FX,
+    )
     sql["scorecard_summary"] = fx(
         f"""{CARD}select month_start, count(*) as customers,
   count(*) filter (where {FLAG}) as risk_customers from final group by month_start""",
@@ -449,6 +469,40 @@ select customer_id, txn_id, cast(amount as double) as amount, window_rows,
         f"{fraud},{ALERTS} select * from alerts order by alert_date, customer_id, alert_type",
         *FRAUD_FX,
     )
+    sql["fraud_alert_rows_by_rule"] = fx(f"{fraud},{ALERTS} select * from alerts", *FRAUD_FX)
+    sql["alert_rank"] = fx(
+        f"""{fraud},{ALERTS} select customer_id, alert_type, alert_date, txn_id,
+  row_number() over (order by alert_date nulls last, customer_id nulls last,
+    alert_type nulls last, txn_id nulls last) as row_number
+from alerts""",
+        *FRAUD_FX,
+    )
+    default_ctes = ",".join((EVENT_ROWS, RATE, CITIES, _places(95), HIGH_FREQUENCY, MULTI_CITY))
+    default_ctes = default_ctes.replace("fx_txn_events", "bursts").replace("txn_count >= 3", "txn_count >= 5")
+    sql["fraud_alerts_default"] = fx(
+        f"""with bursts as (select * replace (make_timestamp(epoch_us(txn_date) // 24) as txn_date)
+  from fx_txn_events), {default_ctes.strip()}
+select customer_id, 'HIGH_FREQUENCY_1H' as alert_type, alert_date,
+  cast(max_transactions as bigint) as max_transactions_in_1h, cast(null as bigint) as city_count,
+  cast(null as varchar) as cities from frequent
+union all
+select customer_id, 'MULTI_CITY_1D', alert_date, null, city_count, cities from spread""",
+        *FRAUD_FX,
+    )
+    default_means = MEANS.replace("interval 7 day", "interval 30 day")
+    default_high = HIGH_AMOUNT.replace("interval 7 day", "interval 30 day").replace(
+        "fx_txn_events", "fx_transactions"
+    )
+    default_rows = EVENT_ROWS.replace("fx_txn_events", "fx_transactions").replace(
+        "fx_event_accounts", "fx_accounts"
+    )
+    sql["fraud_high_amount_default"] = fx(
+        f"""with {",".join((default_rows, default_means, default_high)).strip()}
+select customer_id, alert_date, txn_id, epoch_us(txn_date) as txn_date,
+  cast(amount as double) as amount, window_rows, cast(window_sum as double) as window_sum,
+  avg_amount, ratio_to_avg from high""",
+        *SNAPSHOT_FX,
+    )
     sql["alert_counts"] = fx(
         f"{fraud},{ALERTS} select alert_type, count(*) as alerts from alerts "
         "group by rollup (alert_type)",
@@ -460,8 +514,28 @@ select customer_id, txn_id, cast(amount as double) as amount, window_rows,
     sql["events_clean"] = f"""select {event_columns}, props, cast(ts as date) as event_date
 from events where {GOOD_EVENT}"""
     sql["events_quarantine"] = f"""select {event_columns}, props,
-  'event_type is unknown' as reason from events, (values (1), (2)) copies(n)
+  'event_type is unknown' as reason, {_plain_time("ts")} as raw_event_timestamp
+from events, (values (1), (2)) copies(n)
 where not ({GOOD_EVENT})"""
+    sql["events_quarantine_domains"] = f"""select * from (select {event_columns},
+  screen_name, device_type, concat_ws('; ',
+    case when not ({GOOD_EVENT}) then 'event_type is unknown' end,
+    case when screen_name = 'Lobby' then 'screen_name is unknown' end,
+    case when device_type = 'TV' then 'device_type is unknown' end) as reason
+from (select *, case user_id % 10 when 9 then 'Lobby'
+    else (['Dashboard', 'Transfer', 'Payment', 'Account', 'Profile', 'History', 'Card',
+      'Investment'])[user_id % 10 + 1] end as screen_name,
+  (['ANDROID', 'IOS', 'WEB', 'TV', null])[event_id % 5 + 1] as device_type from events) e) r
+where reason <> ''"""
+    sql["events_late"] = f"""with seen as (select max(ts) as last from events
+  where event_id % 20 <> 0 and {GOOD_EVENT}),
+late as (select {event_columns} from events, seen where event_id % 20 = 0 and {GOOD_EVENT}
+  and epoch_us(ts) <= (epoch_us(last) // 1000 - 600000) * 1000)
+select *, cast((select count(*) from late) as bigint) as dropped_by_watermark from late"""
+    sql["events_tier_moves"] = """select case when date '2024-04-12' - cast(ts as date) <= 7 then 'hot'
+    when date '2024-04-12' - cast(ts as date) <= 90 then 'warm' else 'cold' end as tier,
+  cast(ts as date) as event_date, count(*) as events, cast(sum(event_id) as bigint) as ids
+from events group by 1, 2"""
     sql["events_enriched"] = fx(
         f"""with context as (select customer_id, count(*) as account_count,
     cast(sum(balance) as double) as total_balance from fx_accounts group by customer_id)
@@ -491,6 +565,7 @@ from events group by 1, 2"""
     )
     sql["transactions_rejected"] = fx(
         f"""select {TXN_COLUMNS}, cast(amount as varchar) as raw_amount,
+  {_plain_time("txn_date")} as raw_txn_date,
   'channel is unknown' as reason
 from fx_transactions where not ({GOOD_TXN})""",
         "fx_transactions",
@@ -586,6 +661,15 @@ from paired where previous_balance is not null
     sql["rule_duplicate_customers"] = fx(
         "select nik, count(*) as customers from fx_kyc group by nik having count(*) > 1", "fx_kyc"
     )
+    sql["rule_duplicate_groups"] = """with recursive keyed as (select customer_id,
+    case when customer_id % 5 < 4 then customer_id // 3 end as nik,
+    case when customer_id % 7 < 5 then (customer_id + 1) // 3 end as phone from (select c_custkey as customer_id from customer) c),
+links as (select a.customer_id as a, b.customer_id as b from keyed a join keyed b
+  on a.nik = b.nik where a.customer_id <> b.customer_id
+  union select a.customer_id, b.customer_id from keyed a join keyed b
+  on a.phone = b.phone where a.customer_id <> b.customer_id),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select a as customer_id, min(b) as group_id from reach group by a"""
     sql["rule_mask_pii"] = fx(
         """select customer_id, repeat('*', length(nik)) as nik,
   repeat('*', length(phone) - 4) || right(phone, 4) as phone from fx_kyc""",
@@ -600,4 +684,9 @@ from fx_transactions group by txn_type""",
     )
     sql["rule_score_features"] = """select event_id,
   cast(json_extract_string(props, '$.k') as int) as k from events"""
+    sql["rule_feature_types"] = """with cut as (select
+    case when event_id % 13 = 0 then substr(props, 1, 4) else props end as p from events),
+keyed as (select unnest(json_keys(p)) as feature, p from cut where json_valid(p))
+select feature, 'BIGINT' as type, count(*) as "values" from keyed group by 1, 2
+union all select null, null, count(*) from cut where not json_valid(p)"""
     return sql

@@ -22,13 +22,16 @@ from bankflow.operators import activity, alerts, balances, clean, detectors, loc
 from bankflow.operators import rules, scaffold, scores
 from bankflow.plans import account_snapshot as snap
 from bankflow.plans import scorecard as card
-from bankflow.plans.fraud import fraud_alerts
+from bankflow.plans.fraud import fraud_alerts, fraud_alerts_by_rule
 from bankflow.plans.lineage import trace_upstream
+from bankflow.schemas import DEVICES, SCREENS
 from bankflow.session import scratch_path
 from bankflow.sinks import export_csv, upsert
+from bankflow.sinks.staged import Staging
 from bankflow.sources import read_csv, read_events_stream, read_snapshot_day, read_snapshots
 from bankflow.streaming import clickstream as stream
-from bankflow.streaming.contract import EventContract
+from bankflow.streaming.contract import EventContract, split_valid, validate_events
+from bankflow.streaming.progress import dropped_by_run
 from parity.fixtures import Bank
 
 DAY = "1998-03-02"
@@ -42,6 +45,12 @@ EVENT_CONTRACT = EventContract(
     domains={"event_type": ("view", "click", "signup", "purchase")},
 )
 TIER_DAY = date(2024, 4, 5)
+NEXT_TIER_DAY = date(2024, 4, 12)
+# The fixture's accounts lack three columns of the full layout.
+SNAPSHOT_EXPORT = [
+    "snapshot_date", "account_id", "customer_id", "account_type", "balance", "credit_limit",
+    "daily_net_amount", "daily_txn_count",
+]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,10 +93,11 @@ def daily_activity(bank: Bank) -> DataFrame:
 
 @register
 def dq_report(bank: Bank) -> DataFrame:
-    accounts, txns = bank.accounts, activity.of_day(bank.transactions, DAY)
-    summary = activity.daily_activity(txns)
-    snapshot = snap.build_snapshot(accounts, summary, DAY)
-    return quality.dq_report(accounts, snapshot, txns, summary)
+    """The gate's figures, observed while the snapshot of the day is staged."""
+    staging = Staging(bank.spark)
+    snap.stage_snapshot(staging, bank.accounts, bank.transactions, DAY)
+    staging.drop()
+    return quality.observed_report(bank.spark, staging.figures)
 
 
 @register
@@ -133,7 +143,7 @@ def snapshot_export(bank: Bank) -> DataFrame:
     """One day exported as CSV and read back with its schema."""
     day = snap.account_snapshot(bank.accounts, bank.transactions, DAY)
     path = scratch_path(bank.spark, "export")
-    export_csv(day, path)
+    export_csv(day, path, SNAPSHOT_EXPORT)
     return read_csv(
         bank.spark,
         path,
@@ -154,6 +164,24 @@ def run_audit(bank: Bank) -> DataFrame:
     )
 
 
+@register
+def lineage_of_run(bank: Bank) -> DataFrame:
+    """Where a snapshot column comes from: edges the run wrote, and behind them each amount's order."""
+    lineage = scratch_path(bank.spark, "lineage")
+    snap.run_account_snapshot(
+        bank.accounts, bank.transactions, DAY, scratch_path(bank.spark, "snapshots"),
+        lineage_path=lineage,
+    )
+    orders = bank.raw("orders").select(
+        F.lit("orders").alias("source_table"),
+        F.col("o_orderkey").cast("string").alias("source_column"),
+        F.lit("transactions").alias("target_table"),
+        F.lit("amount").alias("target_column"),
+    )
+    written = bank.spark.read.parquet(lineage).select(*orders.columns)
+    return trace_upstream(written.unionByName(orders), "account_snapshots", "daily_net_amount")
+
+
 # -- scorecard ------------------------------------------------------------------------------
 
 
@@ -297,6 +325,13 @@ def scorecard_preview(bank: Bank) -> DataFrame:
     return snap.preview(card.order_scorecard(_scorecard(bank)), 10)
 
 
+@register
+def scorecard_rank(bank: Bank) -> DataFrame:
+    """Every row's place in the report, numbered without gathering the report in one task."""
+    ranked = card.rank_scorecard(_scorecard(bank).select("month_start", "customer_id", "risk_flag"))
+    return ranked.select("month_start", "customer_id", "risk_flag", "row_number")
+
+
 @register
 def scorecard_summary(bank: Bank) -> DataFrame:
     return card.scorecard_summary(_scorecard(bank))
@@ -400,14 +435,56 @@ def _alerts(bank: Bank) -> DataFrame:
 @register
 def fraud_alert_rows(bank: Bank) -> DataFrame:
     """All alerts; of the JSON details the parts that print alike in both engines."""
+    return _alert_details(alerts.order_alerts(_alerts(bank)))
+
+
+def _alert_details(found: DataFrame) -> DataFrame:
     details = F.from_json(
         "details_json",
         "max_transactions_in_1h bigint, city_count bigint, cities array<string>, txn_id bigint, "
         "amount decimal(15,2), avg_amount_30d decimal(20,2), ratio_to_avg decimal(20,2)",
     )
-    return alerts.order_alerts(_alerts(bank)).select(
-        "customer_id", "alert_type", "alert_date", details.alias("d")
-    ).select("customer_id", "alert_type", "alert_date", "d.*")
+    return found.select("customer_id", "alert_type", "alert_date", details.alias("d")).select("customer_id", "alert_type", "alert_date", "d.*")
+
+
+@register
+def fraud_alert_rows_by_rule(bank: Bank) -> DataFrame:
+    """The rules one by one, without the shared sweep."""
+    found = fraud_alerts_by_rule(
+        bank.txn_events, bank.event_accounts, _locations(bank), min_count=MIN_COUNT, days=DAYS
+    )
+    return _alert_details(found)
+
+
+@register
+def alert_rank(bank: Bank) -> DataFrame:
+    """Every alert's place in the report."""
+    txn_id = F.get_json_object("details_json", "$.txn_id").cast("bigint")
+    return alerts.rank_alerts(_alerts(bank), txn_id).select(
+        "customer_id", "alert_type", "alert_date", txn_id.alias("txn_id"), "row_number"
+    )
+
+
+def _bursts(bank: Bank) -> DataFrame:
+    """The events with their days shrunk to hours, so that the default thresholds find something."""
+    at = F.timestamp_micros(F.floor(F.unix_micros(F.col("txn_date").cast("timestamp")) / 24))
+    return bank.txn_events.withColumn("txn_date", at.cast("timestamp_ntz"))
+
+
+@register
+def fraud_alerts_default(bank: Bank) -> DataFrame:
+    """Default thresholds: five in an hour, three cities, homes at 95 percent."""
+    bursts = _bursts(bank)
+    places = locations.assign_city(bursts, bank.event_accounts, bank.customers)
+    return _alert_details(fraud_alerts(bursts, bank.event_accounts, places)).drop(
+        "txn_id", "amount", "avg_amount_30d", "ratio_to_avg"
+    )
+
+
+@register
+def fraud_high_amount_default(bank: Bank) -> DataFrame:
+    """Default thresholds: three times the mean of 30 days, after 30 days."""
+    return detectors.high_amount(bank.transactions, bank.accounts)
 
 
 @register
@@ -455,22 +532,63 @@ def _run_stream(bank: Bank) -> stream.ClickstreamPaths:
 
 @register
 def events_clean(bank: Bank) -> DataFrame:
-    paths = _run_stream(bank)
-    return bank.spark.read.parquet(paths.table("silver"))
+    return stream.read_table(bank.spark, _run_stream(bank), "silver")
 
 
 @register
 def events_quarantine(bank: Bank) -> DataFrame:
-    paths = _run_stream(bank)
-    return bank.spark.read.parquet(paths.table("quarantine")).drop(
-        "ingested_at", "raw_event_timestamp"
+    return stream.read_table(bank.spark, _run_stream(bank), "quarantine").drop("ingested_at")
+
+
+@register
+def events_quarantine_domains(bank: Bank) -> DataFrame:
+    """All three value domains at work, on screens and devices made from the user and the event."""
+    events = bank.raw("events").select(
+        "event_id",
+        F.col("user_id").alias("customer_id"),
+        F.col("ts").alias("event_timestamp"),
+        "event_type",
+        F.get(F.array(*[F.lit(x) for x in SCREENS]), (F.col("user_id") % 10).cast("int")).alias("screen_name"),
+        F.get(
+            F.array(*[F.lit(x) for x in (*DEVICES, "TV", None)]), (F.col("event_id") % 5).cast("int")
+        ).alias("device_type"),
+    ).withColumn("screen_name", F.when(F.col("customer_id") % 10 == 9, "Lobby").otherwise(F.col("screen_name")))
+    contract = EventContract(
+        required=EVENT_CONTRACT.required,
+        domains=EVENT_CONTRACT.domains | {"screen_name": SCREENS, "device_type": DEVICES},
     )
+    _, invalid = split_valid(validate_events(events, contract), contract)
+    return invalid.drop("raw_event_timestamp")
+
+
+@register
+def events_late(bank: Bank) -> DataFrame:
+    """Every twentieth event comes in a second run; what the watermark drops there, and how many it counted."""
+    folder = scratch_path(bank.spark, "late")
+    events = bank.raw("events").select(
+        "event_id", F.col("user_id").alias("customer_id"), F.col("ts").alias("event_timestamp"), "event_type"
+    )
+    second = F.col("event_id") % 20 == 0
+    for run in (~second, second):
+        events.filter(run).write.mode("append").parquet(f"{folder}/arrivals")
+        paths = stream.run_clickstream(
+            bank.spark,
+            read_events_stream(bank.spark, "parquet", schema=events.schema, path=f"{folder}/arrivals"),
+            f"{folder}/tables",
+            None,
+            contract=EVENT_CONTRACT,
+            progress_path=f"{folder}/progress",
+        )
+    bronze = bank.spark.read.parquet(paths.table("bronze"))
+    late = stream.late_events(bronze, stream.read_table(bank.spark, paths, "silver"), EVENT_CONTRACT)
+    counted = dropped_by_run(bank.spark.read.parquet(f"{folder}/progress"))
+    total = counted.agg(F.sum("dropped_by_watermark")).scalar()
+    return late.withColumn("dropped_by_watermark", total)
 
 
 @register
 def events_enriched(bank: Bank) -> DataFrame:
-    paths = _run_stream(bank)
-    return bank.spark.read.parquet(paths.table("enriched")).drop("props")
+    return stream.read_table(bank.spark, _run_stream(bank), "enriched").drop("props")
 
 
 @register
@@ -483,6 +601,18 @@ def events_tiered(bank: Bank) -> DataFrame:
     )
 
 
+@register
+def events_tier_moves(bank: Bank) -> DataFrame:
+    """Tiers of one day, moved on to those of a later one."""
+    events = bank.raw("events").withColumn("event_timestamp", F.col("ts").cast("timestamp"))
+    path = scratch_path(bank.spark, "tiers")
+    stream.write_tiers(events.drop("ts"), path, TIER_DAY)
+    stream.move_tiers(bank.spark, path, NEXT_TIER_DAY)
+    return bank.spark.read.parquet(path).groupBy("tier", "event_date").agg(
+        F.count("*").alias("events"), F.sum("event_id").alias("ids")
+    )
+
+
 # -- silver, lineage ------------------------------------------------------------------------
 
 
@@ -495,7 +625,7 @@ def transactions_clean(bank: Bank) -> DataFrame:
 @register
 def transactions_rejected(bank: Bank) -> DataFrame:
     _, rejected = clean.clean_transactions(bank.transactions)
-    return rejected.drop("raw_txn_date")
+    return rejected
 
 
 @register
@@ -581,6 +711,18 @@ def rule_duplicate_customers(bank: Bank) -> DataFrame:
     return rules.duplicate_customers(bank.kyc, "nik")
 
 
+@register
+def rule_duplicate_groups(bank: Bank) -> DataFrame:
+    """Customers that share a national id or a phone number, also through others."""
+    c = F.col("customer_id")
+    keyed = bank.kyc.select(
+        "customer_id",
+        F.when(c % 5 < 4, F.floor(c / 3).cast("string")).alias("nik"),
+        F.when(c % 7 < 5, F.floor((c + 1) / 3).cast("string")).alias("phone"),
+    )
+    return rules.duplicate_groups(keyed)
+
+
 @register
 def rule_mask_pii(bank: Bank) -> DataFrame:
     return rules.mask_pii(bank.kyc).select("customer_id", "nik", "phone")
@@ -596,3 +738,11 @@ def rule_score_features(bank: Bank) -> DataFrame:
     return rules.score_features(
         bank.raw("events").select("event_id", "props"), "k int", column="props"
     )
+
+
+@register
+def rule_feature_types(bank: Bank) -> DataFrame:
+    """Keys and types of the JSON column; every thirteenth value is cut short and thus unreadable."""
+    props = F.col("props")
+    broken = F.when(F.col("event_id") % 13 == 0, F.substring(props, 1, 4)).otherwise(props)
+    return rules.feature_types(bank.raw("events").select(broken.alias("props")), "props")

@@ -87,6 +87,63 @@ def test_pipelines_on_csv(spark, capsys):
     assert dict(gold.dtypes)["total_balance"] == "decimal(20,2)"
 
 
+def write_lines(spark, path, lines):
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+
+
+def test_clean_and_lineage_jobs(spark, capsys):
+    folder = scratch_path(spark, "jobs")
+    for name in ("accounts", "transactions"):
+        write_lines(spark, f"{folder}/raw/{name}.csv", FILES[name])
+    bad = FILES["transactions"][:2] + ["t0,a1,2025-08-01 09:00:00,DANCE,-1,,QRIS,r,COMPLETED"]
+    write_lines(spark, f"{folder}/more/transactions.csv", bad)
+    jobs.main(["clean", "--data-dir", f"{folder}/more", "--output-path", f"{folder}/valid",
+               "--rejected-path", f"{folder}/rejected"], spark)
+    assert capsys.readouterr().out == "txn_type is unknown 1\n"
+    assert rows(spark.read.parquet(f"{folder}/valid"), "txn_id") == [("t0",)]
+
+    jobs.main(["snapshot", "--data-dir", f"{folder}/raw", "--snapshot-date", "2025-08-01",
+               "--output-path", f"{folder}/snapshots", "--lineage-path", f"{folder}/lineage"], spark)
+    capsys.readouterr()
+    jobs.main(["lineage", "--edges", f"{folder}/lineage", "--table", "account_snapshots",
+               "--column", "daily_txn_count"], spark)
+    assert capsys.readouterr().out.splitlines() == [
+        f"1 transactions.{c}" for c in ("account_id", "status", "txn_date", "txn_id")
+    ]
+    edges = spark.read.parquet(f"{folder}/lineage")
+    assert rows(edges.filter("target_column = 'balance'"), "source_table", "source_column") == [
+        ("accounts", "balance")
+    ]
+    assert edges.select("run_id").distinct().count() == 1
+
+
+EVENTS = [
+    "e1,c1,2025-08-01 10:00:00,login,Dashboard,s1,IOS,1.0",
+    "e1,c1,2025-08-01 10:00:00,login,Dashboard,s1,IOS,1.0",
+    "e2,c9,2025-08-01 10:01:00,logout,Profile,s2,WEB,1.0",
+    "e3,c1,2025-08-01 10:02:00,dance,Profile,s2,WEB,1.0",
+]
+
+
+@pytest.mark.parametrize("endless", [False, True])
+def test_stream_job(spark, endless):
+    folder = scratch_path(spark, "jobs")
+    for name in ("customers", "accounts"):
+        write_lines(spark, f"{folder}/raw/{name}.csv", FILES[name])
+    write_lines(spark, f"{folder}/events", EVENTS)
+    argv = ["stream", "--format", "csv", "--input", f"{folder}/events", "--data-dir", f"{folder}/raw",
+            "--output-path", f"{folder}/tables"]
+    # Side by side, bronze files arrive while the second query runs already.
+    argv += ["--every", "1 second", "--stop-after", "25"] if endless else ["--progress-path", f"{folder}/p"]
+    jobs.main(argv, spark)
+    enriched = spark.read.parquet(f"{folder}/tables/enriched")
+    assert rows(enriched, "event_id", "segment", "account_count") == [("e1", "MASS", 2), ("e2", None, None)]
+    assert rows(spark.read.parquet(f"{folder}/tables/quarantine"), "event_id") == [("e3",)]
+    if not endless:
+        progress = spark.read.parquet(f"{folder}/p")
+        assert rows(progress.groupBy("run_id").sum("input_rows", "dropped_by_watermark"))[0][1:] == (8, 0)
+
+
 def test_arguments(monkeypatch):
     with pytest.raises(SystemExit):
         jobs.parser().parse_args(["snapshot", "--snapshot-date", "1/8/2025", "--output-path", "x"])

@@ -15,6 +15,7 @@ SQL = oracle.oracle_sql()
 WRITERS = {
     "snapshot_rerun", "snapshot_day_scan", "snapshot_export", "run_audit", "scorecard_upsert",
     "events_clean", "events_quarantine", "events_enriched", "events_tiered", "lineage_trace",
+    "lineage_of_run", "events_late", "events_tier_moves", "rule_duplicate_groups", "dq_report",
 }
 
 

@@ -7,14 +7,22 @@ from bankflow.operators.quality import (
     QualityError,
     dq_report,
     enforce,
+    observed_report,
     orphan_transactions,
     partition_counts,
 )
-from bankflow.plans.account_snapshot import account_snapshot, build_snapshot, run_account_snapshot
+from bankflow.plans.account_snapshot import (
+    account_snapshot,
+    build_snapshot,
+    run_account_snapshot,
+    stage_snapshot,
+)
 from bankflow.session import scratch_path
 from bankflow.sinks import export_csv
+from bankflow.sinks.staged import Staging
+from bankflow.sinks.tables import snapshot_columns
 from bankflow.sources import read_csv, read_snapshot_day, read_snapshots
-from tests.helpers import dec, rows, ts
+from tests.helpers import dec, plan_of, rows, ts
 
 ACCOUNTS = "account_id string, customer_id string, balance double, credit_limit double"
 TXNS = (
@@ -101,9 +109,59 @@ def test_rerun_replaces_only_its_partition(spark, accounts, txns):
     assert runs.count() == 3 and {r["row_count"] for r in runs.collect()} == {3}
 
 
+def test_every_source_is_scanned_once(spark, accounts, txns, monkeypatch):
+    """All staged tables together scan accounts and transactions once, and the rest reads staged rows."""
+    source = scratch_path(spark, "source")
+    accounts.write.parquet(f"{source}/accounts")
+    txns.write.parquet(f"{source}/transactions")
+    scans, plain = [], Staging.write
+
+    def write(self, df, name, **figures):
+        scans.extend(f.split("/")[-2] for f in df.inputFiles() if source.split("/")[-1] in f)
+        assert plan_of(df).count("FileScan parquet") <= 2
+        return plain(self, df, name, **figures)
+
+    monkeypatch.setattr(Staging, "write", write)
+    run_account_snapshot(
+        spark.read.parquet(f"{source}/accounts"), spark.read.parquet(f"{source}/transactions"), DAY,
+        scratch_path(spark, "t"),
+    )
+    assert sorted(set(scans)) == ["accounts", "transactions"]
+    files = len(spark.read.parquet(f"{source}/accounts").inputFiles())
+    assert scans.count("accounts") == files
+
+
+def test_observed_figures_equal_the_joined_report(spark, accounts, txns):
+    more = txns.unionByName(spark.createDataFrame([("t7", None, ts("2025-08-01T01:00:00"), 1.0, "COMPLETED")], TXNS))
+    staging = Staging(spark)
+    stage_snapshot(staging, accounts, more, DAY)
+    day = of_day(more, DAY)
+    summary = daily_activity(day)
+    joined = dq_report(accounts, build_snapshot(accounts, summary, DAY), day, summary)
+    assert rows(observed_report(spark, staging.figures)) == rows(joined)
+    assert staging.figures["orphans"] == 2
+    paths = list(staging.paths)
+    staging.drop()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_staged_tables_go_after_a_success(spark, accounts, txns):
+    target = scratch_path(spark, "t")
+    shared = os.path.dirname(target).removeprefix("file:")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    run_account_snapshot(accounts, txns, DAY, target)
+    assert set(os.listdir(shared)) - before == {os.path.basename(target)}
+    nothing = spark.createDataFrame([], ACCOUNTS)
+    report = run_account_snapshot(nothing, txns.limit(0), DAY, scratch_path(spark, "t"))
+    assert all(r["passed"] for r in report)
+
+
 def test_export_is_one_file_with_header(spark, accounts, txns):
     path = scratch_path(spark, "t")
-    export_csv(account_snapshot(accounts, txns, DAY), path)
+    snapshot = account_snapshot(accounts, txns, DAY)
+    with pytest.raises(ValueError, match="account_type"):
+        export_csv(snapshot, path)
+    export_csv(snapshot, path, snapshot_columns(snapshot).columns)
     files = [f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".csv")]
     assert len(files) == 1
     back = read_csv(spark, path)

@@ -1,17 +1,24 @@
-from datetime import date
+import os
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from bankflow.schemas import APP_EVENTS, column_names
 from bankflow.session import scratch_path
+from bankflow.streaming import clickstream
 from bankflow.streaming.clickstream import (
     account_context,
     enrich_events,
     late_events,
+    move_tiers,
+    read_table,
     run_clickstream,
     tier_events,
+    tier_of,
+    write_tiers,
 )
+from bankflow.streaming.progress import dropped_by_run
 from bankflow.streaming.contract import split_valid, validate_events
 from tests.helpers import dec, rows
 
@@ -96,6 +103,79 @@ def test_replay_restart_late_and_invalid(spark, context):
     ]
 
 
+class Killed(RuntimeError):
+    pass
+
+
+def test_batch_that_dies_between_two_tables(spark, context, monkeypatch):
+    arrivals, folder = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+    arrive(
+        spark, arrivals,
+        event("e1", "2025-08-01 10:00:00"), event("e1", "2025-08-01 10:00:00"),
+        event(None, "2025-08-01 11:00:00"), event(None, "2025-08-01 11:00:00"),
+    )
+
+    def run():
+        raw = spark.readStream.schema(RAW).parquet(arrivals)
+        return run_clickstream(spark, raw, folder, lambda: context)
+
+    plain = clickstream.write_batch
+    written = []
+
+    def dies(rows_, path, *more):
+        if path.endswith("silver"):
+            raise Killed("between quarantine and silver")
+        written.append(path)
+        plain(rows_, path, *more)
+
+    monkeypatch.setattr(clickstream, "write_batch", dies)
+    with pytest.raises(Exception, match="between quarantine and silver"):
+        run()
+    assert len(written) == 1 and spark.read.parquet(f"{folder}/quarantine").count() == 2
+    monkeypatch.setattr(clickstream, "write_batch", plain)
+    paths = run()
+    assert spark.read.parquet(paths.table("quarantine")).count() == 2
+    assert rows(read_table(spark, paths, "silver"), "event_id") == [("e1",)]
+    assert rows(read_table(spark, paths, "enriched"), "event_id", "segment") == [("e1", "MASS")]
+
+
+def test_dropped_rows_are_counted_for_each_run(spark, context):
+    arrivals, folder = scratch_path(spark, "arrivals"), scratch_path(spark, "stream")
+
+    def run(*events):
+        arrive(spark, arrivals, *events)
+        raw = spark.readStream.schema(RAW).parquet(arrivals)
+        run_clickstream(spark, raw, folder, lambda: context, progress_path=f"{folder}/progress")
+
+    run(event("e1", "2025-08-01 10:00:00"), event("bad", "never"))
+    run(event("late", "2025-08-01 09:00:00"), event("ok", "2025-08-01 09:55:00"), event("bad", "never"))
+    counted = dropped_by_run(spark.read.parquet(f"{folder}/progress"))
+    # Landing and routing read each row once.
+    assert rows(counted, "input_rows", "dropped_by_watermark") == [(4, 0), (6, 1)]
+
+
+def test_only_dates_that_cross_a_limit_move(spark):
+    path = scratch_path(spark, "tiers")
+    days = [date(2025, 8, 1) - timedelta(days=n) for n in (0, 6, 7, 8, 89, 90, 91)]
+    events = spark.createDataFrame([(f"e{d}", str(d)) for d in days], "event_id string, t string").select(
+        "event_id", F.col("t").cast("timestamp").alias("event_timestamp")
+    )
+    write_tiers(events, path, date(2025, 8, 1))
+    local = path.removeprefix("file:")
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(local) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    moves = move_tiers(spark, path, date(2025, 8, 2))
+    assert moves == [(days[5], "warm", "cold"), (days[2], "hot", "warm")]
+    assert len(before & files()) == 5 and len(files()) == 7
+    assert move_tiers(spark, path, date(2025, 8, 2)) == []
+    got = {(r["event_id"], r["tier"]) for r in spark.read.parquet(path).collect()}
+    assert got == {(f"e{d}", tier_of(d, date(2025, 8, 2))) for d in days}
+    assert move_tiers(spark, scratch_path(spark, "none"), date(2025, 8, 2)) == []
+
+
 def test_enrichment_keeps_one_row_per_event(spark, context):
     profile, accounts = context
     events = spark.createDataFrame(
