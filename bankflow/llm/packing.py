@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankflow.llm.common import slices, whole_text
+from bankflow.llm.common import chunks, whole_text
 from bankflow.llm.word_memory import WordMemory, check_byte_level, memory_of
 
 PIECE = "struct<doc_id:bigint,start:bigint,length:int,doc_tokens:bigint,offset:int>"
@@ -155,9 +156,9 @@ def packed_sequences(
         memory = memory_of(job, lambda: WordMemory(sent.value, "<u4"))
         keys, held, size = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 3_000_000):
-                for key, payload in zip(ids[a:b], memory.payloads(texts[a:b])):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks(pc.utf8_length(texts).to_numpy(), 4_000_000):
+                for key, payload in zip(ids[a:b], memory.payloads(texts.slice(a, b - a))):
                     keys.append(key)
                     held.append(payload + end)
                     size += len(payload) // WIDTH + 1

@@ -2,7 +2,8 @@
 
 The tokenizer must cut words as the published byte-level pattern does: a space belongs to the word behind
 it, and no cut depends on what lies beyond a space that follows a visible character. So a text may be cut
-before every such space, and each unit has the same ids wherever it stands.
+before every such space, and each unit has the same ids wherever it stands. Arrow splits a batch of texts and
+numbers its distinct units; only those are looked at one by one, and their ids are then put in place by NumPy.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ import os
 import re
 import sys
 import types
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MAX_UNITS = 600_000
 MAX_WORDS = 900_000
 STOPS = ".,;:!?"
+# Letters of old blocks only: the tokenizer's Unicode tables may be older than Python's.
+LAST_LETTER = "ɐ"
 CUT = re.compile(r"(?<=\S) ")
 
 
@@ -31,11 +35,27 @@ def check_byte_level(description: dict) -> None:
         raise ValueError("the tokenizer is not plain byte-level")
 
 
+def strings(array: pa.Array) -> list[str]:
+    """Python strings of an array without nulls; several times faster than one scalar after the other."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def placed(payloads: list[bytes], at: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the payloads numbered ``at``, in a row, and how many each has."""
+    width = np.dtype(kind).itemsize
+    lengths = np.fromiter(map(len, payloads), np.int32, len(payloads)) // width
+    data = np.frombuffer(b"".join(payloads), kind)
+    sizes, starts = lengths[at], (np.cumsum(lengths) - lengths)[at]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(total)], sizes
+
+
 class WordMemory:
     """Payloads (little-endian unsigned ``kind`` ids) of texts.
 
-    ``units`` maps a stretch between cuts to its payload, ``words`` its parts: a word, its stops, a line
-    break. Both are emptied when full, so memory is bounded; results do not depend on what they hold.
+    ``words`` maps the parts of units (a word, its stops, a line break) to their payloads. It is emptied when
+    full, so memory is bounded; results do not depend on what it holds.
     """
 
     def __init__(self, tokenizer_json: str, kind: str):
@@ -43,9 +63,9 @@ class WordMemory:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.width = Tokenizer.from_str(tokenizer_json), kind, np.dtype(kind).itemsize
-        self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.line_break = self.plain(["\n"])[0]
+        self.stops = Stops(self.plain)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """Each text encoded by itself."""
@@ -62,7 +82,7 @@ class WordMemory:
         if len(breaks) != len(words) - 1:
             return self.plain(words)
         data = ids.tobytes()
-        starts = ([0] + ((breaks + 1) * self.width).tolist())
+        starts = [0] + ((breaks + 1) * self.width).tolist()
         ends = (breaks * self.width).tolist() + [len(data)]
         return [data[a:b] for a, b in zip(starts, ends)]
 
@@ -77,20 +97,21 @@ class WordMemory:
             if i:
                 found.append("\n")
             word = line.rstrip(STOPS)
-            # Letters of old blocks only: the tokenizer's Unicode tables may be older than Python's.
-            if word and word != line and word[-1] < "ɐ" and word[-1].isalpha():
+            if word and word != line and word[-1] < LAST_LETTER and word[-1].isalpha():
                 found += [word, line[len(word) :]]
             else:
                 found.append(line)
         return found
 
-    def learn(self, units: list[str]) -> list[bytes]:
-        """Payloads of units, put together from those of their parts."""
-        parts = [self.parts(unit) for unit in units]
-        unknown = list({p for p in chain.from_iterable(parts) if p not in self.words})
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Payloads of parts, from memory or newly encoded."""
+        found = list(map(self.words.get, words))
+        if None not in found:
+            return found
+        unknown = list({w for w, payload in zip(words, found) if payload is None})
         if len(self.words) + len(unknown) > MAX_WORDS:
             self.words.clear()
-            unknown = list(set(chain.from_iterable(parts)))
+            unknown = list(set(words))
         bare, odd = [], []
         for word in unknown:
             (bare if word.split() == [word.removeprefix(" ")] else odd).append(word)
@@ -98,29 +119,78 @@ class WordMemory:
             some = bare[at : at + 2000]
             self.words.update(zip(some, self.joined(some)))
         self.words.update(zip(odd, self.plain(odd)))
-        return [b"".join(map(self.words.__getitem__, p)) for p in parts]
-
-    def payloads(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        needed = set(chain.from_iterable(pieces[1:] for pieces in split))
-        new = [u for u in needed if u not in self.units and u and not u[-1].isspace()]
-        if len(self.units) + len(new) > MAX_UNITS:
-            self.units.clear()
-            new = [u for u in needed if u and not u[-1].isspace()]
-        self.units.update(zip(new, self.learn([" " + u for u in new])))
-        first = self.learn([pieces[0] for pieces in split])
-        found = []
-        for text, start, pieces in zip(texts, first, split):
-            try:
-                if len(pieces) > 1 and (not pieces[0] or pieces[0][-1].isspace()):
-                    raise KeyError
-                found.append(start + b"".join(map(self.units.__getitem__, pieces[1:])))
-            except KeyError:  # a space behind white space, where no cut may be
-                units = CUT.split(text)
-                found.append(b"".join(self.learn([units[0], *(" " + u for u in units[1:])])))
+        return list(map(self.words.__getitem__, words))
+
+    def by_hand(self, units: list[str]) -> list[bytes]:
+        """Payloads of units of any kind."""
+        parts = [self.parts(unit) for unit in units]
+        known = iter(self.learn(list(chain.from_iterable(parts))))
+        return [b"".join(islice(known, len(p))) for p in parts]
+
+    def of_units(self, units: pa.Array) -> list[bytes]:
+        """Payloads of distinct units, each behind a space."""
+        words = pc.utf8_rtrim(units, STOPS)
+        # Line breaks are part of a unit but no word's.
+        odd = pc.match_substring(units, "\n").to_numpy(zero_copy_only=False)
+        stopped = pc.not_equal(words, units).to_numpy(zero_copy_only=False) & ~odd
+        whole, cut, behind = strings(units), strings(words), []
+        for i in np.flatnonzero(stopped).tolist():
+            word = cut[i]
+            if word and word[-1] < LAST_LETTER and word[-1].isalpha():
+                behind.append((i, whole[i][len(word) :]))
+            else:
+                odd[i] = True
+        plain = pc.if_else(pa.array(odd), "", pc.binary_join_element_wise(" ", words, ""))
+        known = self.learn(strings(plain))
+        for i, stops in behind:
+            known[i] += self.stops[stops]
+        left = np.flatnonzero(odd).tolist()
+        for i, payload in zip(left, self.by_hand([" " + whole[i] for i in left])):
+            known[i] = payload
+        return known
+
+    def payloads(self, texts: pa.Array) -> list[bytes]:
+        """The payload of each text; there are no nulls."""
+        split = pc.split_pattern(texts, " ")
+        encoded = pc.dictionary_encode(pc.list_flatten(split))
+        at = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = ends - sizes
+        units = encoded.dictionary
+        # No cut may be behind white space: texts with such a space are cut one by one.
+        trimmed = pc.utf8_rtrim_whitespace(units)
+        loose = pc.or_(pc.not_equal(trimmed, units), pc.equal(units, "")).to_numpy(zero_copy_only=False)
+        by_hand = np.zeros(len(sizes), bool)
+        if loose.any():
+            by_hand[np.searchsorted(ends, np.flatnonzero(loose[at]), side="right")] = True
+        # The first unit of a text has no space before it, which all others have.
+        starts = pc.if_else(pa.array(by_hand), "", units.take(pa.array(at[first])))
+        at[first] = len(units) + np.arange(len(sizes))
+        ids, counts = placed(self.of_units(units) + self.by_hand(strings(starts)), at, self.kind)
+        bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends] * self.width
+        data, bounds = ids.tobytes(), bounds.tolist()
+        found = [data[a:b] for a, b in zip([0, *bounds], bounds)]
+        for i in np.flatnonzero(by_hand).tolist():
+            cut = CUT.split(texts[i].as_py())
+            found[i] = b"".join(self.by_hand([cut[0], *(" " + u for u in cut[1:])]))
         return found
 
 
+class Stops(dict):
+    """Payloads of rows of stops, encoded when first met. A text of stops alone keeps this from growing far."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, stops: str) -> bytes:
+        if len(self) > 10_000:
+            self.clear()
+        value = self[stops] = self.encode([stops])[0]
+        return value
+
+
 def memory_of(job: str, make) -> object:
     """What this Python worker remembers for ``job``; shipped functions are new in every task, modules are not."""
     held = sys.modules.setdefault("_bankflow_llm_memory", types.ModuleType("_bankflow_llm_memory"))
