@@ -65,6 +65,12 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return int(total or 0)
 
 
+def stored_bytes(df: DataFrame, text: str, row_bytes: int = 64) -> int:
+    """Bytes of the texts and a constant for each row, so that tasks are cut by rows too where texts are empty."""
+    size = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + row_bytes
+    return int(df.select(F.sum(size.cast("long")).alias("n")).first()["n"] or 0)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased A-Z, split at the six ASCII white space characters; null has no words."""
     return text.encode().lower().split() if text else []

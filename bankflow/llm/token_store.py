@@ -11,21 +11,21 @@ and ``count`` the documents of that key in the shard.
 
 from __future__ import annotations
 
-import os
-import sys
-import types
+import json
 import uuid
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bankflow.llm.common import MASK, mix, slices, text_bytes, whole_text
+from bankflow.llm.common import MASK, chunks, mix, stored_bytes, whole_text
+from bankflow.llm.word_memory import LowerWordMemory, WordMemory, check_lower_words, memory_of
 
 SHARDS = (
     "shard long, n_docs long, n_tokens long, width int, min_key long, max_key long, ids binary, "
@@ -33,7 +33,6 @@ SHARDS = (
     "first binary, count binary"
 )
 GAMMA = 1.5
-MAX_WORDS = 1_000_000
 FINGERPRINT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,61 +126,6 @@ SHARD_SCHEMA = pa.schema(
 )
 
 
-def encoder(tokenizer_json: str, width: int, end_id: int, by_word: bool, job: str):
-    """Function from texts to payloads.
-
-    With ``by_word``, ids are remembered in the Python worker for as long as it serves the same job: by word
-    of letters in ``MAX_WORDS`` entries, and by white-space-separated piece in a smaller table.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    # Shipped functions are unpickled for every task; a module outlives the task.
-    memory = sys.modules.setdefault("_token_store_memory", types.ModuleType("_token_store_memory"))
-    if getattr(memory, "job", None) != job:
-        memory.job, memory.tokenizer = job, Tokenizer.from_str(tokenizer_json)
-        memory.words, memory.pieces = {}, {}
-    tokenizer, words, pieces = memory.tokenizer, memory.words, memory.pieces
-    kind = "<u2" if width == 2 else "<u4"
-    end = np.array([end_id], kind).tobytes()
-
-    def ids(texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = (np.cumsum([0] + [len(f) for f in found]) * width).tolist()
-        data = np.fromiter(chain.from_iterable(found), kind).tobytes()
-        return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-    def learn(new: list[bytes]) -> None:
-        """Payloads of new pieces: letters, perhaps with stops behind, by their word; others whole."""
-        parts = []
-        for piece in new:
-            text = piece.decode()
-            word = text.rstrip(".,;:!?")
-            if not word.isalpha():
-                word = text
-            parts.append((word.lower() if word.isascii() else word, text[len(word) :]))
-        unknown = list({p for pair in parts for p in pair if p and p not in words})
-        if len(words) + len(unknown) > MAX_WORDS:
-            words.clear()
-            unknown = list({p for pair in parts for p in pair if p})
-        words.update(zip(unknown, ids(unknown)))
-        pieces.update(zip(new, (words[w] + words[t] if t else words[w] for w, t in parts)))
-
-    def payloads(texts: list[str]) -> list[bytes]:
-        if not by_word:
-            return [p + end for p in ids(texts)]
-        split = [t.encode().split() for t in texts]
-        needed = set(chain.from_iterable(split))
-        new = [p for p in needed if p not in pieces]
-        if len(pieces) + len(new) > MAX_WORDS // 2:
-            pieces.clear()
-            new = list(needed)
-        learn(new)
-        return [b"".join(map(pieces.__getitem__, p)) + end for p in split]
-
-    return payloads
-
-
 def write_token_store(
     docs: DataFrame,
     path: str,
@@ -198,8 +142,9 @@ def write_token_store(
     Keys are integers; other types are refused. Null texts are empty and give the end id alone. Rows of one
     key follow each other, ordered by a hash of the text; a key of very many rows spreads over shards. A
     text longer than ``shard_tokens`` is a shard of its own. An empty table gives a store without shards.
-    ``by_word`` says that the tokenizer lower-cases, drops white space and takes runs of letters and other
-    signs one by one, so that each word need be encoded only once. The file is read here and sent to the executors, about 2 MB.
+    ``by_word`` remembers ids by word, for a tokenizer that lower-cases, drops white space and takes runs of
+    letters and other signs one by one; others are refused. The file is read here and sent to the executors,
+    about 2 MB.
     """
     if docs.schema[doc_id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError("keys must be integers")
@@ -207,22 +152,28 @@ def write_token_store(
 
     with open(tokenizer_file, encoding="utf-8") as file:
         tokenizer_json = file.read()
+    if by_word:
+        check_lower_words(json.loads(tokenizer_json))
     largest = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1)
     width = 2 if largest <= 1 << 16 else 4
+    kind = "<u2" if width == 2 else "<u4"
     job = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), whole_text(F.col(text)).alias("text"))
-    parts = max(1, -(-text_bytes(docs, text) // part_bytes))
+    parts = max(1, -(-stored_bytes(docs, text) // part_bytes))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc()]
 
     def pack(batches):
-        payloads = encoder(sent.value, width, end_id, by_word, job)
+        memory = memory_of(job, lambda: (LowerWordMemory if by_word else WordMemory)(sent.value, kind))
+        end = np.array([end_id], kind).tobytes()
         shard = TaskContext.get().partitionId() << 32
         keys, held, size = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 3_000_000):
-                for key, payload in zip(ids[a:b], payloads(texts[a:b])):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in chunks(pc.utf8_length(texts).to_numpy(), 6_000_000):
+                some = texts.slice(a, b - a)
+                found = memory.payloads(some) if by_word else memory.plain(some.to_pylist())
+                for key, payload in zip(ids[a:b], (p + end for p in found)):
                     if held and size + len(payload) // width > shard_tokens:
                         yield shard_row(shard, keys, held, width)
                         shard, keys, held, size = shard + 1, [], [], 0

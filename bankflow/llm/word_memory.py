@@ -22,6 +22,8 @@ MAX_WORDS = 900_000
 STOPS = ".,;:!?"
 # Letters of old blocks only: the tokenizer's Unicode tables may be older than Python's.
 LAST_LETTER = "ɐ"
+# Latin letters whose lower case is one letter, which U+0130 lacks.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 CUT = re.compile(r"(?<=\S) ")
 
 
@@ -35,6 +37,18 @@ def check_byte_level(description: dict) -> None:
         raise ValueError("the tokenizer is not plain byte-level")
 
 
+def check_lower_words(description: dict) -> None:
+    """Refuse tokenizers that do not lower-case and take letters, digits and other signs as separate words."""
+    steps = [n["type"] for n in (description.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (description.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = cuts[0].get("pattern", {}).get("Regex", "") if cuts else ""
+    words = pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and cuts[0].get("invert")
+    plain = all(t["content"].startswith("<|") and not t["normalized"] for t in description.get("added_tokens") or [])
+    ends = description["model"].get("end_of_word_suffix") == "</w>"
+    if steps != ["NFC", "Replace", "Lowercase"] or not (words and ends and plain) or description.get("post_processor"):
+        raise ValueError("the tokenizer does not take words one by one")
+
+
 def strings(array: pa.Array) -> list[str]:
     """Python strings of an array without nulls; several times faster than one scalar after the other."""
     return array.to_numpy(zero_copy_only=False).tolist()
@@ -48,7 +62,10 @@ def placed(payloads: list[bytes], at: np.ndarray, kind: str) -> tuple[np.ndarray
     sizes, starts = lengths[at], (np.cumsum(lengths) - lengths)[at]
     ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(total)], sizes
+    kind_of_place = np.int32 if total < 1 << 31 else np.int64
+    places = np.repeat((starts - ends + sizes).astype(kind_of_place), sizes)
+    places += np.arange(total, dtype=kind_of_place)
+    return data[places], sizes
 
 
 class WordMemory:
@@ -72,6 +89,11 @@ class WordMemory:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    @staticmethod
+    def joins(word: str) -> bool:
+        """Whether a word may stand in a joined text."""
+        return word.split() == [word.removeprefix(" ")]
+
     def joined(self, words: list[str]) -> list[bytes]:
         """Words without white space but for a leading space, encoded as the lines of one text.
 
@@ -106,20 +128,22 @@ class WordMemory:
     def learn(self, words: list[str]) -> list[bytes]:
         """Payloads of parts, from memory or newly encoded."""
         found = list(map(self.words.get, words))
-        if None not in found:
+        missing = [i for i, payload in enumerate(found) if payload is None]
+        if not missing:
             return found
-        unknown = list({w for w, payload in zip(words, found) if payload is None})
+        unknown = list({words[i] for i in missing})
         if len(self.words) + len(unknown) > MAX_WORDS:
             self.words.clear()
-            unknown = list(set(words))
         bare, odd = [], []
         for word in unknown:
-            (bare if word.split() == [word.removeprefix(" ")] else odd).append(word)
+            (bare if self.joins(word) else odd).append(word)
         for at in range(0, len(bare), 2000):
             some = bare[at : at + 2000]
             self.words.update(zip(some, self.joined(some)))
         self.words.update(zip(odd, self.plain(odd)))
-        return list(map(self.words.__getitem__, words))
+        for i in missing:
+            found[i] = self.words[words[i]]
+        return found
 
     def by_hand(self, units: list[str]) -> list[bytes]:
         """Payloads of units of any kind."""
@@ -177,6 +201,59 @@ class WordMemory:
         return found
 
 
+class LowerWordMemory(WordMemory):
+    """The same for a tokenizer that lower-cases, drops white space and marks the end of every word.
+
+    A text is cut at white space; letters and the stops behind them are words of their own.
+    """
+
+    def __init__(self, tokenizer_json: str, kind: str):
+        super().__init__(tokenizer_json, kind)
+        ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+
+    @staticmethod
+    def joins(word: str) -> bool:
+        return LATIN.fullmatch(word) is not None
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters, encoded as one text; each ends with the one token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self.plain(words)
+        data, bounds = ids.tobytes(), (ends * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *bounds], bounds)]
+
+    def of_units(self, units: pa.Array) -> list[bytes]:
+        # Special tokens are looked for before letters are lowered.
+        lowered = pc.if_else(pc.match_substring(units, "<|"), units, pc.ascii_lower(units))
+        words = pc.utf8_rtrim(lowered, STOPS)
+        stopped = pc.not_equal(words, lowered).to_numpy(zero_copy_only=False)
+        whole, cut, behind = strings(lowered), strings(words), []
+        for i in np.flatnonzero(stopped).tolist():
+            word = cut[i]
+            if word and LATIN.match(word[-1]):
+                behind.append((i, whole[i][len(word) :]))
+            else:
+                cut[i] = whole[i]
+        known = self.learn(cut)
+        for i, stops in behind:
+            known[i] += self.stops[stops]
+        return known
+
+    def payloads(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        encoded = pc.dictionary_encode(pc.list_flatten(split))
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = encoded.indices.to_numpy(zero_copy_only=False)
+        ids, counts = placed(self.of_units(encoded.dictionary), at, self.kind)
+        bounds = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends] * self.width
+        data, bounds = ids.tobytes(), bounds.tolist()
+        return [data[a:b] for a, b in zip([0, *bounds], bounds)]
+
+
 class Stops(dict):
     """Payloads of rows of stops, encoded when first met. A text of stops alone keeps this from growing far."""
 
