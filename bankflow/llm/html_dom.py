@@ -5,13 +5,8 @@ from __future__ import annotations
 import html
 import re
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
-    r"|<(/?)([a-z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-z][^\s/>]*))", re.I)
+QUOTED = re.compile(r"(?>\"[^\"]*\"|'[^']*'|[^>\"'])*>")
 # Elements left out with all they hold. Without an end tag, only the first ones reach to the end of the page.
 SCRIPTS = frozenset("script style".split())
 UNSEEN = SCRIPTS | frozenset("noscript template svg iframe title".split())
@@ -58,11 +53,95 @@ def attribute_tokens(attributes: str) -> list[str]:
     return [t for value in found for t in SPLIT.split("".join(value).lower()) if t]
 
 
+class Tokens:
+    """Tags of a page in one pass: closing, name, attributes and where the tag starts and ends.
+
+    A tag ends at the next ``>`` outside quotes. Where quotes do not close before the page does, tags end at
+    their next ``>`` from there on; what follows the last ``>`` is text. So no part is searched twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last_end, self.quotes = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        page = self.page
+        while match := TOKEN.search(page, at):
+            if match[1]:
+                end = page.find("-->", match.end())
+                return match.start(), len(page) if end < 0 else end + 3, False, None, ""
+            if match.end() > self.last_end:
+                return None if "<!--" not in page[match.start() :] else self.comment(match.end())
+            inside = QUOTED.match(page, match.end()) if match[3] and self.quotes else None
+            if match[3] and self.quotes and not inside:
+                self.quotes = False
+            end = inside.end() if inside else page.index(">", match.end()) + 1
+            return match.start(), end, bool(match[2]), match[3], page[match.end() : end - 1]
+        return None
+
+    def comment(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """A comment behind the last tag, which reaches to the end of the page."""
+        start = self.page.find("<!--", at)
+        return (start, len(self.page), False, None, "") if start >= 0 else None
+
+
+class Stack:
+    """Open elements. Blocks, and places by name, are found without a walk over what is open."""
+
+    def __init__(self, root: Node):
+        self.entries: list[tuple[str | None, Node | None]] = [("html", root)]  # inline elements have no node
+        self.blocks = [0]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def owner(self) -> Node:
+        return self.entries[self.blocks[-1]][1]
+
+    def push(self, tag: str, node: Node | None = None) -> None:
+        if node is not None:
+            self.blocks.append(len(self.entries))
+        self.places.setdefault(tag, []).append(len(self.entries))
+        self.entries.append((tag, node))
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of that name, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def forget(self, place: int) -> None:
+        """Close an inline element below others, which stay open."""
+        self.places[self.entries[place][0]].pop()
+        self.entries[place] = (None, None)
+
+    def cut(self, place: int) -> int:
+        """Close everything from a place on; how many links were among it."""
+        links = 0
+        for tag, _ in reversed(self.entries[place:]):
+            if tag is not None:
+                self.places[tag].pop()
+                links += tag == "a"
+        del self.entries[place:]
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+        return links
+
+    def closed_by(self, closes: set[str], until: set[str] | None) -> int:
+        """Place of the open block that a start tag closes, 0 if none."""
+        if not any(self.places.get(name) for name in closes):
+            return 0
+        for place in reversed(self.blocks[1:] if until is not None else self.blocks[-1:]):
+            name = self.entries[place][0]
+            if place and name in closes:
+                return place
+            if until is None or name in until:
+                return 0
+        return 0
+
+
 def parse(page: str | None) -> tuple[Node, list[str]]:
     """Root block and the texts of all runs, white space collapsed; empty runs do not count."""
     root = Node("html", [], None)
     texts: list[str] = []
-    stack: list[tuple[str, Node | None]] = [("html", root)]  # inline elements have no node
+    stack = Stack(root)
     owner, pieces, in_link = root, [], 0
     bare_links = bare_tags = 0  # since the last flush
 
@@ -87,10 +166,8 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
     def pop_to(depth: int):
         nonlocal owner, in_link
         flush()
-        for tag, _ in stack[depth:]:
-            in_link -= tag == "a"
-        del stack[depth:]
-        owner = next(node for _, node in reversed(stack) if node is not None)
+        in_link -= stack.cut(depth)
+        owner = stack.owner
 
     def add(piece: str):
         nonlocal bare_links
@@ -101,18 +178,16 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
             owner.links += len(piece)
 
     page = page or ""
-    last = 0
+    last, tokens = 0, Tokens(page)
     endless: set[str] = set()  # no further end tag of these
-    while match := TOKEN.search(page, last):
-        if match.start() > last:
-            add(page[last : match.start()])
-        last = match.end()
-        tag = match[2] or match[5]
+    while token := tokens.next(last):
+        start, end_of_tag, closing, tag, attributes = token
+        if start > last:
+            add(page[last:start])
+        last = end_of_tag
         if tag is None:
             continue
         tag = tag.lower()
-        closing = match[1] or match[4]
-        attributes = (match[3] if match[2] else match[6]) or ""
         if tag in UNSEEN and not closing:
             if tag not in ("svg", "title"):
                 owner.tags += 1
@@ -127,14 +202,14 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
                 endless.add(tag)
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = stack.last(tag)
             if not depth:
                 continue
             if tag not in BLOCKS:
-                if any(node is not None for _, node in stack[depth:]):
+                if stack.blocks[-1] > depth:
                     continue  # an inline end tag does not close blocks
                 in_link -= tag == "a"
-                del stack[depth]
+                stack.forget(depth)
             else:
                 pop_to(depth)
             continue
@@ -148,24 +223,19 @@ def parse(page: str | None) -> tuple[Node, list[str]]:
             continue
         if tag not in BLOCKS:
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, None))
+                stack.push(tag)
                 in_link += tag == "a"
             continue
         if tag in ("html", "body"):
             root.tokens += attribute_tokens(attributes)
             continue
         closes, until = CLOSES.get(tag, ({"p"}, None))
-        for i in range(len(stack) - 1, 0, -1):
-            name, node = stack[i]
-            if name in closes:
-                pop_to(i)
-                break
-            if (node is not None and until is None) or (until is not None and name in until):
-                break
+        if place := stack.closed_by(closes, until):
+            pop_to(place)
         flush()
         node = Node(tag, attribute_tokens(attributes), owner)
         owner.children.append(node)
-        stack.append((tag, node))
+        stack.push(tag, node)
         owner = node
     if last < len(page):
         add(page[last:])
