@@ -8,7 +8,8 @@ verified on the shingles.
 
 No tree holds the whole corpus. Documents meet in a block only if a whole group of shingles is equal: two
 linked documents differ in fewer shingles than there are groups, so one group at least is untouched. The
-number of groups follows the document's size class, and a document near a class border is dealt to both.
+number of groups follows the document's size class, and a document is dealt to every class below its own in which a
+linked one may be.
 Blocks are named after their smallest document, so copies of one text share few blocks.
 """
 
@@ -71,10 +72,11 @@ class Signatures:
         if not n:
             return np.zeros(0, np.int64)
         c = self.size_class(n)
-        keys = self.in_class(shingles, c, self.most_different(n))
-        if c and 100 * (self.bounds[c] - 1) >= self.percent * n:  # a linked smaller set may be a class below
-            keys = np.concatenate([keys, self.in_class(shingles, c - 1, self.most_different(n))])
-        return keys
+        keys = [self.in_class(shingles, c, self.most_different(n))]
+        while c and 100 * (self.bounds[c] - 1) >= self.percent * n:  # a linked smaller set may be in a class below
+            c -= 1
+            keys.append(self.in_class(shingles, c, self.most_different(n)))
+        return np.concatenate(keys)
 
     def in_class(self, shingles: np.ndarray, c: int, different: int) -> np.ndarray:
         """Keys of the groups that have shingles.
