@@ -30,6 +30,7 @@ class Mix:
     temperature: float = 0.9
     tolerance: float = 1e-6
     max_rounds: int = 50
+    accept: float = 1e-3
     seed: int = 17
     token_budget: float | None = None
 
@@ -62,14 +63,17 @@ def with_targets(cells: DataFrame, dims: list[str], mix: Mix) -> DataFrame:
 
 
 def rake(cells: DataFrame, dims: list[str], mix: Mix = Mix()) -> DataFrame:
-    """Cells with ``weight``, raked until the marginals fit to ``tolerance`` or ``max_rounds`` is reached.
+    """Cells with ``weight``, raked until the marginals fit to ``tolerance``.
 
+    After ``max_rounds`` a residual (the largest difference of a share) up to ``accept`` is let pass; above it the
+    targets contradict each other on the cells there are, and that is an error that names the residual.
     ``cells`` has the dimensions and ``tokens``. Weights sum to 1 over cells with tokens. Raking reads the
     cells only, which are as many as combinations occur; each round is written, so plans stay short.
     """
     names = [f"target_{d}" for d in dims]
     start = with_targets(cells, dims, mix).withColumn("weight", F.col("tokens").cast("double"))
     state = Staged(start.where(F.col("tokens") > 0).select(*dims, "tokens", *names, "weight"), "rake")
+    worst = 0.0
     for _ in range(mix.max_rounds):
         df = state.df
         for dim, target in zip(dims, names):
@@ -87,6 +91,9 @@ def rake(cells: DataFrame, dims: list[str], mix: Mix = Mix()) -> DataFrame:
         state = fitted
         if worst is None or worst <= mix.tolerance:
             break
+    else:
+        if worst > mix.accept:
+            raise ValueError(f"no weights meet the targets: a share is off by {worst:.4f} after {mix.max_rounds} rounds")
     return state.df.select(*dims, "tokens", "weight")
 
 
