@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bankflow.llm.common import new_path, stage
+from bankflow.llm.common import new_path, packed_struct, stage
 from bankflow.llm.decontaminate import benchmark_overlaps
 from bankflow.llm.jaccard_join import near_duplicates
 from bankflow.llm.mixing import mixed
@@ -20,42 +20,47 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def with_own_ids(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``own_id``, one for each id and text.
+    """``own_id``, one for each id and text, beside all columns in a struct ``doc``, where no name can clash.
 
-    It is ``doc_id`` but for further texts under one id (as from merged sources), which get a hash of both, set
-    above 2 ** 62 so that it is no smaller than usual ids. Null ids stay null.
+    It is ``doc_id`` but for rows without an id and for further texts under one id (as from merged sources),
+    which get a hash of id and text, set above 2 ** 62 so that it is no smaller than usual ids.
     """
-    print_of = F.xxhash64(F.col("text"))
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("shared_id"), print_of.alias("print"))
-    ends = named.groupBy("shared_id").agg(F.min("print").alias("first"), F.max("print").alias("last"))
-    shared = stage(ends.where(F.col("first") < F.col("last")).select("shared_id", "first"), "shared-ids")
-    joined = docs.join(shared, F.col("doc_id") == F.col("shared_id"), "left")
-    other = F.xxhash64("doc_id", print_of).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    own = F.when(F.col("first") != print_of, other).otherwise(F.col("doc_id").cast("long"))
-    return joined.select(*[docs[c] for c in docs.columns], own.alias("own_id"))
+    boxed = docs.select(packed_struct(docs).alias("doc"))
+    rows = boxed.select("doc", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64("doc.text").alias("print"))
+    named = rows.where(F.col("id").isNotNull())
+    ends = named.groupBy("id").agg(F.min("print").alias("first"), F.max("print").alias("last"))
+    shared = stage(
+        ends.where(F.col("first") < F.col("last")).select(F.col("id").alias("shared_id"), "first"), "shared-ids"
+    )
+    joined = rows.join(shared, F.col("id") == F.col("shared_id"), "left")
+    other = F.xxhash64("id", "print").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.col("id").isNull() | (F.col("first") != F.col("print")), other).otherwise(F.col("id"))
+    return joined.select("doc", own.alias("own_id"))
+
+
+def texts_of(keyed: DataFrame) -> DataFrame:
+    return keyed.select("own_id", F.col("doc.text").alias("text"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
 
-    Repeated rows of one id and text are one document; different texts under one id are different documents.
-    Rows without an id cannot be told apart and stay.
+    Repeated rows of one id and text are one document, and so are rows without an id that have equal texts;
+    different texts under one id, or under none, are different documents.
     """
     keyed = with_own_ids(docs)
-    found = near_duplicates(keyed, doc_id="own_id")
+    found = near_duplicates(texts_of(keyed), doc_id="own_id")
     gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("own_id")).distinct()
     left = keyed.join(gone.hint("merge"), "own_id", "left_anti")
-    named = left.where(F.col("own_id").isNotNull()).dropDuplicates(["own_id"]).select(*docs.columns)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return left.dropDuplicates(["own_id"]).select("doc.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark, judged by id and text. Rows without an id share one fate."""
+    """Documents without a passage of the benchmark, each judged by its own text."""
     keyed = with_own_ids(docs)
-    overlaps = benchmark_overlaps(keyed, table(spark, sf_dir, "benchmark"), doc_id="own_id")
-    hits = overlaps.select(F.col("doc_id").alias("hit")).distinct()
-    left = keyed.join(hits, F.col("own_id").eqNullSafe(F.col("hit")), "left_anti")
-    return left.select(*docs.columns)
+    overlaps = benchmark_overlaps(texts_of(keyed), table(spark, sf_dir, "benchmark"), doc_id="own_id")
+    hits = overlaps.select(F.col("doc_id").alias("own_id")).distinct()
+    return keyed.join(hits, "own_id", "left_anti").select("doc.*")
 
 
 def keep_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
