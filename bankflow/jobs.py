@@ -27,9 +27,11 @@ from bankflow.sinks import export_csv, upsert
 from bankflow.sinks.staged import Staging
 from bankflow.sources import read_csv, read_jdbc, read_jdbc_window, read_snapshot_day, read_snapshots
 from bankflow.sources.events import read_events_stream
-from bankflow.sources.jdbc import JdbcPartition
+from bankflow.sources.jdbc import JdbcPartition, JdbcTextSplit
 from bankflow.streaming.clickstream import (
+    ClickstreamPaths,
     move_tiers,
+    recover_late_events,
     run_clickstream,
     start_clickstream,
     wait_for_all,
@@ -59,8 +61,12 @@ class Tables:
             self.spark, table=name, partition=self.partition_of(name), **credentials()
         )
 
-    def partition_of(self, name: str) -> JdbcPartition | None:
-        """The range split given for a table; transactions may not be read by one task."""
+    def partition_of(self, name: str) -> JdbcPartition | JdbcTextSplit | None:
+        """The split given for a table; transactions may not be read by one task."""
+        for text in self.args.jdbc_split or ():
+            table, column, *bounds = text.split(",")
+            if table == name:
+                return JdbcTextSplit(column, tuple(bounds))
         for text in self.args.jdbc_partition or ():
             table, column, lower, upper, count = text.split(",")
             if table == name:
@@ -151,6 +157,17 @@ def job_stream(spark: SparkSession, args: argparse.Namespace) -> None:
     wait_for_all(spark, queries, args.stop_after)
 
 
+def job_recover_late(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Append the events that came too late for the stream."""
+    tables = Tables(spark, args)
+
+    def context() -> tuple[DataFrame, DataFrame]:
+        snapshots = read_snapshots(spark, args.snapshots) if args.snapshots else tables("accounts")
+        return tables("customers"), snapshots
+
+    print("recovered:", recover_late_events(spark, ClickstreamPaths(args.path), context))
+
+
 def job_tiers(spark: SparkSession, args: argparse.Namespace) -> None:
     """Move tiered events whose age has crossed a limit."""
     for day, old, new in move_tiers(spark, args.path, parse_day(args.as_of)):
@@ -223,7 +240,11 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--database", help="schema of the catalog tables")
             sub.add_argument(
                 "--jdbc-partition", action="append", metavar="TABLE,COLUMN,LOWER,UPPER,COUNT",
-                help="parallel range read of a database table; required for transactions",
+                help="parallel range read of a database table; this or a split is required for transactions",
+            )
+            sub.add_argument(
+                "--jdbc-split", action="append", metavar="TABLE,COLUMN,VALUE[,VALUE...]",
+                help="parallel read of a database table with a text key, cut at these values",
             )
         return sub
 
@@ -263,6 +284,10 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--every", help="go on without end in micro-batches this far apart")
     sub.add_argument("--stop-after", type=float, help="seconds after which an endless run stops")
 
+    sub = add("recover-late", job_recover_late)
+    sub.add_argument("--path", required=True, help="folder of the stream's tables")
+    sub.add_argument("--snapshots", help="snapshot table; without it the accounts are joined")
+
     sub = add("tiers", job_tiers, tables=False)
     sub.add_argument("--path", required=True)
     sub.add_argument("--as-of", required=True, type=_day)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bankflow.functions import month_of, next_month
+from bankflow.functions import month_of, next_month, sorted_set
 from bankflow.operators.scaffold import month_list
 
 _TIE = "score_id"
@@ -35,48 +35,57 @@ def latest_per_score_month(scores: DataFrame) -> DataFrame:
     )
 
 
+def month_steps(months: DataFrame) -> DataFrame:
+    """For each calendar month in the range of the report months, which of them is the first not before it.
+
+    ``_index`` counts the report months from one. At most twelve rows a year, so it may be broadcast at any
+    data size.
+    """
+    span = months.agg(
+        F.min("month_start").alias("_first"),
+        F.max("month_start").alias("_last"),
+        sorted_set("month_start").alias("_months"),
+    )
+    calendar = F.explode(F.sequence("_first", "_last", F.expr("interval 1 month")))
+    earlier = F.filter("_months", lambda m: m < F.col("_calendar"))
+    return span.select("_months", calendar.alias("_calendar")).select(
+        "_calendar", (F.size(earlier) + 1).alias("_index")
+    )
+
+
 def score_marks(scores: DataFrame, months: DataFrame) -> DataFrame:
     """The newest score a customer has gained by each report month where it changes.
 
-    A score takes effect in the first report month that ends after it. Scores after the last report
-    month are never known in time and drop out. The result has at most one row per customer and
-    report month.
+    A score takes effect in the first report month that ends after it (``_index``). Scores after the last
+    report month are never known in time and drop out. The result has at most one row per customer and
+    report month. The raw scores meet the report months in a hash lookup by calendar month, and are reduced
+    in each task before they are shuffled.
     """
+    first = months.agg(F.min("month_start")).scalar()
     effective = (
         scores.filter(F.col("score_date").isNotNull())
-        .withColumn("_months", month_list(months))
-        .withColumn(
-            "month_start",
-            F.get(F.filter("_months", lambda m: m >= month_of("score_date")), 0),
-        )
-        .drop("_months")
-        .filter(F.col("month_start").isNotNull())
+        .withColumn("_calendar", F.greatest(month_of("score_date"), first))
+        .join(F.broadcast(month_steps(months)), "_calendar")
+        .drop("_calendar")
     )
-    return _newest(effective, "customer_id", "month_start")
+    return _newest(effective, "customer_id", "_index")
 
 
 def asof_latest(scores: DataFrame, months: DataFrame, method: str = "interval") -> DataFrame:
     """Latest score per customer and report month, for months at or after the first score.
 
     ``interval`` keeps one score per customer and effective month, finds where the next one takes
-    over, and writes the report months in between: one output row per result, one shuffle.
+    over, and writes the report months in between: one output row per result.
     ``rank`` lists all candidate pairs of the reduced scores and keeps the newest; it is the check
     of the first form.
     """
-    marks = score_marks(scores, months)
     if method == "interval":
-        per_customer = Window.partitionBy("customer_id").orderBy("month_start")
+        per_customer = Window.partitionBy("customer_id").orderBy("_index")
+        listed = month_list(months)
+        until = F.coalesce(F.lead("_index").over(per_customer), F.size(listed) + 1)
         return (
-            marks.withColumn("_until", F.lead("month_start").over(per_customer))
-            .withColumn("_months", month_list(months))
-            .withColumn(
-                "_valid",
-                F.filter(
-                    "_months",
-                    lambda m: (m >= F.col("month_start"))
-                    & (F.col("_until").isNull() | (m < F.col("_until"))),
-                ),
-            )
+            score_marks(scores, months)
+            .withColumn("_valid", F.slice(listed, F.col("_index"), until - F.col("_index")))
             .select(
                 F.explode_outer("_valid").alias("month_start"),
                 "customer_id", "score_date", "probability_of_default",

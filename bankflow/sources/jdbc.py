@@ -22,6 +22,26 @@ class JdbcPartition:
     count: int
 
 
+@dataclass(frozen=True)
+class JdbcTextSplit:
+    """How a table with a text key is split: at these values of the column, one read for each stretch."""
+
+    column: str
+    bounds: tuple[str, ...]
+
+    def predicates(self) -> list[str]:
+        """Conditions that meet every row once, NULL keys with the first stretch.
+
+        The values are compared by the database, so its collation decides; any order gives whole results.
+        """
+        quoted = ["'" + b.replace("'", "''") + "'" for b in sorted(set(self.bounds))]
+        if not quoted:
+            return ["1 = 1"]
+        first = f"({self.column} IS NULL OR {self.column} < {quoted[0]})"
+        between = [f"({self.column} >= {a} AND {self.column} < {b})" for a, b in zip(quoted, quoted[1:])]
+        return [first, *between, f"({self.column} >= {quoted[-1]})"]
+
+
 def jdbc_options(
     url: str, table: str, user: str, password: str, partition: JdbcPartition | None = None
 ) -> dict[str, str]:
@@ -44,10 +64,14 @@ def read_jdbc(
     table: str,
     user: str,
     password: str,
-    partition: JdbcPartition | None = None,
+    partition: JdbcPartition | JdbcTextSplit | None = None,
     fetch_size: int = 10_000,
 ) -> DataFrame:
     """A table. Without ``partition`` one task reads it all, so pass one for a large table."""
+    if isinstance(partition, JdbcTextSplit):
+        options = jdbc_options(url, table, user, password)
+        properties = {"user": options["user"], "password": options["password"], "fetchsize": str(fetch_size)}
+        return spark.read.jdbc(url, table, predicates=partition.predicates(), properties=properties)
     options = jdbc_options(url, table, user, password, partition)
     return spark.read.format("jdbc").options(fetchsize=str(fetch_size), **options).load()
 

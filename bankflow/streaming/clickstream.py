@@ -327,6 +327,32 @@ def route_events(
     )
 
 
+def recover_late_events(
+    spark: SparkSession,
+    paths: ClickstreamPaths,
+    load_context: Callable[[], tuple[DataFrame, DataFrame]] | None = None,
+    contract: EventContract = APP_EVENT_CONTRACT,
+) -> int:
+    """Append events that the watermark dropped to silver (and enriched); how many there were.
+
+    Each recovery has a batch number of its own below zero, so it replaces no other. What is in silver is not
+    late any more, so repeating this adds nothing. Run it while no stream writes.
+    """
+    staging = Staging(spark)
+    bronze = spark.read.parquet(paths.table("bronze"))
+    late = late_events(bronze, read_table(spark, paths, "silver"), contract)
+    clean = late.drop(*[c for c in late.columns if c.startswith(KAFKA_PREFIX)])
+    dated = staging.write(
+        with_event_date(clean, contract.time_column), "late", late_events=F.count(F.lit(1))
+    )
+    number = -time.time_ns() // 1_000_000
+    if load_context:  # first, as silver decides what is late
+        write_batch(enrich_events(dated, *load_context()), paths.table("enriched"), number, ("event_date",))
+    write_batch(dated, paths.table("silver"), number, ("event_date",))
+    staging.drop()
+    return staging.figures["late_events"]
+
+
 def read_table(spark: SparkSession, paths: ClickstreamPaths, name: str) -> DataFrame:
     """A routed table without the number of the micro-batch that wrote a row."""
     return spark.read.parquet(paths.table(name)).drop("batch_id")

@@ -139,6 +139,8 @@ def test_stream_job(spark, endless):
     enriched = spark.read.parquet(f"{folder}/tables/enriched")
     assert rows(enriched, "event_id", "segment", "account_count") == [("e1", "MASS", 2), ("e2", None, None)]
     assert rows(spark.read.parquet(f"{folder}/tables/quarantine"), "event_id") == [("e3",)]
+    jobs.main(["recover-late", "--path", f"{folder}/tables", "--data-dir", f"{folder}/raw"], spark)
+    assert spark.read.parquet(f"{folder}/tables/silver").count() == 2
     if not endless:
         progress = spark.read.parquet(f"{folder}/p")
         assert rows(progress.groupBy("run_id").sum("input_rows", "dropped_by_watermark"))[0][1:] == (8, 0)
@@ -166,6 +168,8 @@ def test_database_tables_are_read_in_parallel():
     assert (found.column, found.lower, found.upper, found.count) == (
         "txn_date", "2025-08-01", "2025-09-01", 12)
     assert jobs.Tables(None, args).partition_of("accounts") is None
+    args.jdbc_split = ["accounts,account_id,ACC2000,ACC4000"]
+    assert jobs.Tables(None, args).partition_of("accounts").bounds == ("ACC2000", "ACC4000")
     args.jdbc_partition = None
     with pytest.raises(ValueError, match="--jdbc-partition"):
         jobs.Tables(None, args).partition_of("transactions")

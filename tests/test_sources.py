@@ -4,7 +4,13 @@ from bankflow.schemas import ACCOUNTS, APP_EVENTS, SNAPSHOTS, TRANSACTIONS, colu
 from bankflow.session import scratch_path
 from bankflow.sources import read_csv
 from bankflow.sources.events import parse_kafka
-from bankflow.sources.jdbc import JdbcPartition, hourly_day_partition, jdbc_options, window_of
+from bankflow.sources.jdbc import (
+    JdbcPartition,
+    JdbcTextSplit,
+    hourly_day_partition,
+    jdbc_options,
+    window_of,
+)
 from tests.helpers import dec, plan_of
 
 
@@ -38,6 +44,16 @@ def test_jdbc_options():
         jdbc_options("jdbc:x", "T", "u", "")
 
 
+@pytest.mark.parametrize("bounds", [(), ("m",), ("d", "a'b", "t", "d")])
+def test_text_splits_meet_every_row_once(spark, bounds):
+    keys = [(k,) for k in ("", "a", "a'b", "b", "d", "m", "t", "z", None, None)]
+    df = spark.createDataFrame(keys, "account_id string")
+    parts = JdbcTextSplit("account_id", bounds).predicates()
+    assert len(parts) == len(set(bounds)) + 1
+    found = [r["account_id"] for p in parts for r in df.filter(p).collect()]
+    assert sorted(map(str, found)) == sorted(str(k) for k, in keys)
+
+
 def test_window_filters_and_columns_are_pushed(spark):
     path = scratch_path(spark, "txns")
     spark.createDataFrame([], TRANSACTIONS + ", extra string").write.parquet(path)

@@ -13,6 +13,7 @@ from bankflow.streaming.clickstream import (
     late_events,
     move_tiers,
     read_table,
+    recover_late_events,
     run_clickstream,
     tier_events,
     tier_of,
@@ -102,6 +103,12 @@ def test_replay_restart_late_and_invalid(spark, context):
         ("e1", "MASS", 2, dec("3.50")), ("e2", None, None, None), ("ok", "MASS", 2, dec("3.50")),
     ]
 
+    assert recover_late_events(spark, paths, lambda: context) == 1
+    assert recover_late_events(spark, paths, lambda: context) == 0
+    for table in ("silver", "enriched"):
+        got = rows(read_table(spark, paths, table), "event_id")
+        assert got == [("e1",), ("e2",), ("late",), ("ok",)]
+
 
 class Killed(RuntimeError):
     pass
