@@ -51,6 +51,10 @@ class Shingler:
         return np.unique(value)
 
 
+def set_name(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 class Signatures:
     """Keys of a set's groups such that linked sets share at least one."""
 
@@ -334,39 +338,41 @@ def near_duplicates(
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    def summarise(with_keys: bool):
-        def run(batches):
-            shingler, signatures = Shingler(width), Signatures(percent)
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for a, b in slices(texts):
-                    sets = [shingler.of(t) for t in texts[a:b]]
-                    names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                    arrays = [ids.slice(a, b - a), pa.array(names, pa.binary())]
-                    if with_keys:
-                        found = [signatures.of(s) for s in sets]
-                        ends = np.cumsum([0] + [len(f) for f in found])
-                        arrays.append(
-                            pa.ListArray.from_arrays(
-                                pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64())
-                            )
-                        )
-                        labels = ["doc_id", "set", "keys"]
-                    else:
-                        arrays.append(pa.array([len(s) for s in sets], pa.int64()))
-                        arrays.append(pa.array([packed_counts(s) for s in sets], pa.binary()))
-                        labels = ["doc_id", "set", "n", "counts"]
-                    yield pa.RecordBatch.from_arrays(arrays, names=labels)
-
-        return run
-
-    sets = stage(rows.mapInArrow(summarise(False), "doc_id long, set binary, n long, counts binary"), "sets")
+    def summarise(batches):
+        shingler = Shingler(width)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                sets = [shingler.of(t) for t in texts[a:b]]
+                arrays = [
+                    ids.slice(a, b - a),
+                    pa.array([set_name(s) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([packed_counts(s) for s in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "set", "n", "counts"])
+
+    def sign(batches):
+        shingler, signatures = Shingler(width), Signatures(percent)
+        for batch in batches:
+            ids, names = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                found = []
+                for name, text in zip(names[a:b], texts[a:b]):
+                    own = shingler.of(text)
+                    # Rows that share an id may have other texts than the one asked for.
+                    found.append(signatures.of(own) if set_name(own) == name else np.zeros(0, np.int64))
+                ends = np.cumsum([0] + [len(f) for f in found])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys], names=["doc_id", "keys"])
+
+    sets = stage(rows.mapInArrow(summarise, "doc_id long, set binary, n long, counts binary"), "sets")
     classes = sets.where(F.col("n") > 0).groupBy("set").agg(F.min("doc_id").alias("rep"))
-    keyed = rows.mapInArrow(summarise(True), "doc_id long, set binary, keys array<long>")
-    owners = classes.withColumnRenamed("set", "own")
-    once = keyed.join(
-        owners, (F.col("set") == F.col("own")) & (F.col("doc_id") == F.col("rep")), "left_semi"
-    )
+    # One text of each set is shuffled, not the many keys of every document.
+    asked = classes.select(F.col("rep").alias("doc_id"), F.col("set").alias("own"))
+    once = rows.join(asked.hint("merge"), "doc_id").select("doc_id", "own", "text")
+    once = once.mapInArrow(sign, "doc_id long, keys array<long>")
     dealt = once.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     same = W.partitionBy("key")
     met = dealt.select("id", F.min("id").over(same).alias("hub"), F.max("id").over(same).alias("top"))
