@@ -76,8 +76,9 @@ def asof_latest(scores: DataFrame, months: DataFrame, method: str = "interval")
 
     ``interval`` keeps one score per customer and effective month, finds where the next one takes
     over, and writes the report months in between: one output row per result.
-    ``rank`` lists all candidate pairs of the reduced scores and keeps the newest; it is the check
-    of the first form.
+    ``rank`` lists, for each customer and report month, all of the customer's reduced scores that are
+    candidates, newest first, and keeps the first; it is the check of the first form. A customer has at
+    most one reduced score per calendar month, so the candidates stay inside a row: no pair is shuffled.
     """
     if method == "interval":
         per_customer = Window.partitionBy("customer_id").orderBy("_index")
@@ -93,9 +94,31 @@ def asof_latest(scores: DataFrame, months: DataFrame, method: str = "interval")
             .filter(F.col("month_start").isNotNull())
         )
     if method == "rank":
-        pairs = scores_before(latest_per_score_month(scores).drop("month_start"), months)
-        return _newest(pairs, "month_start", "customer_id").select(
-            "month_start", "customer_id", "score_date", "probability_of_default"
+        reduced = latest_per_score_month(scores).filter(F.col("score_date").isNotNull())
+        score = F.struct("score_date", "probability_of_default")
+        # Dates differ between calendar months, so the date alone settles the order.
+        ranked = reduced.groupBy("customer_id").agg(
+            F.sort_array(F.collect_list(score), asc=False).alias("_ranked")
+        )
+        ends = F.transform(
+            "_months", lambda m: F.struct(m.alias("month_start"), next_month(m).alias("end"))
+        )
+        newest = F.transform(
+            "_ends",
+            lambda e: F.struct(
+                e.month_start.alias("month_start"),
+                F.get(F.filter("_ranked", lambda s: s.score_date < e.end), 0).alias("score"),
+            ),
+        )
+        return (
+            ranked.withColumn("_months", month_list(months))
+            .withColumn("_ends", ends)
+            .select("customer_id", F.explode_outer(newest).alias("_newest"))
+            .filter(F.col("_newest.score").isNotNull())
+            .select(
+                "_newest.month_start", "customer_id",
+                "_newest.score.score_date", "_newest.score.probability_of_default",
+            )
         )
     raise ValueError(f"unknown method {method!r}")
 
