@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankflow.functions import decimal_ratio, in_day, money, month_of
+from bankflow.operators.scaffold import GRAIN
 from bankflow.schemas import CHANNELS, TXN_TYPES
 
 TYPE_COUNTS = [f"{t.lower()}_count" for t in TXN_TYPES]
@@ -89,8 +90,9 @@ def monthly_activity(
     parts = TYPE_COUNTS + _SUMS + _ROWS
     return (
         with_customer(per_account, accounts)
-        .groupBy("month_start", "customer_id")
+        .groupBy(*GRAIN)
         .agg(*[F.sum(c).alias(c) for c in parts])
+        .select("month_start", "customer_id", *parts)
     )
 
 

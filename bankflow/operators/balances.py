@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankflow.functions import month_of
-from bankflow.operators.scaffold import month_list
+from bankflow.operators.scaffold import GRAIN, month_list
 
 CARD = "CREDIT_CARD"
+BALANCES = ["total_balance", "credit_card_balance", "total_credit_limit"]
 
 
 def latest_per_month(snapshots: DataFrame) -> DataFrame:
@@ -51,8 +52,9 @@ def month_balance(snapshots: DataFrame) -> DataFrame:
     """Total balance, card balance and card limit per customer and month."""
     return (
         latest_per_month(snapshots)
-        .groupBy("month_start", "customer_id")
+        .groupBy(*GRAIN)
         .agg(F.sum("balance").alias("total_balance"), *card_totals())
+        .select("month_start", "customer_id", *BALANCES)
     )
 
 
@@ -95,8 +97,9 @@ def month_balance_and_carried(snapshots: DataFrame, months: DataFrame) -> DataFr
             F.when(~own, F.col("balance")).alias("_carried"),
         )
     )
-    return spread.groupBy("month_start", "customer_id").agg(
+    summed = spread.groupBy(*GRAIN).agg(
         F.sum("balance").alias("total_balance"),
         *card_totals(),
         F.sum("_carried").alias("carried_balance"),
     )
+    return summed.select("month_start", "customer_id", *BALANCES, "carried_balance")

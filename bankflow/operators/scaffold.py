@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bankflow.functions import month_of, month_range, sorted_set
 
+# Key of the customer-months, in the order that joins and groupings sort it by.
+GRAIN = ["customer_id", "month_start"]
+
 
 def report_months(snapshots: DataFrame, run_month: str | None = None) -> DataFrame:
     """Distinct months that have snapshots; with a run month only that month and the one before.
@@ -43,12 +46,14 @@ def assemble_month(scaffold: DataFrame, *measures: DataFrame) -> DataFrame:
 
     Every measure has at most one row per key, so rows do not multiply. All joins share their keys:
     the narrow scaffold moves once, and a measure that was grouped by these keys last does not move
-    again. The month in the key spreads the rows of any one customer.
+    again. The month in the key spreads the rows of any one customer. The customer comes first in the key:
+    a sort compares eight bytes of it at once, and few rows tie there, while nearly all tie on the month.
     """
-    keys = ["month_start", "customer_id"]
+    columns = scaffold.columns
     for measure in measures:
-        scaffold = scaffold.join(measure, keys, "left")
-    return scaffold
+        columns = columns + [c for c in measure.columns if c not in GRAIN]
+        scaffold = scaffold.join(measure, GRAIN, "left")
+    return scaffold.select(*columns)
 
 
 def customer_coverage(customers: DataFrame, accounts: DataFrame) -> DataFrame:

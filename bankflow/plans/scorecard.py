@@ -41,9 +41,10 @@ def monthly_facts(
     accounts: DataFrame,
     transactions: DataFrame,
     scores: DataFrame,
+    ratio_scale: int,
     guard: str = "positive",
 ) -> DataFrame:
-    """One row per customer and report month with balances, activity and the as-of score.
+    """One row per customer and report month with balances, their change, activity and the as-of score.
 
     Every input is reduced to customer-months first and then joined to the scaffold on both keys.
     A snapshot counts for its month and, carried, for the next one; on the scaffold a month without
@@ -59,7 +60,28 @@ def monthly_facts(
         wide_money("carried_balance").alias("carried_balance"),
         used.alias("_used"),
     )
+    first = F.get(month_list(months), 0)
+    later = F.col("month_start") > first
     # Ratios of one input are taken before the joins, where there are fewer rows than on the grid.
+    balance = balance.select(
+        "month_start",
+        "customer_id",
+        null_to_zero("total_balance").alias("total_balance"),
+        F.when(later, null_to_zero("carried_balance")).alias("previous_month_balance"),
+        null_to_zero("_used").alias("_used"),
+    )
+    change = change_ratio("total_balance", "previous_month_balance")
+    balance = balance.select(
+        "month_start",
+        "customer_id",
+        "total_balance",
+        "previous_month_balance",
+        wide_money(delta("total_balance", "previous_month_balance")).alias("mom_balance_change"),
+        F.round(change, ratio_scale).cast("decimal(18,6)").alias("mom_balance_change_pct"),
+        F.round("_used", ratio_scale).cast("decimal(18,6)").alias("credit_utilization"),
+        # The flag compares the unrounded ratios; the score's part is added behind the joins.
+        risk_flag("_used", F.lit(None).cast("decimal(5,4)"), change).alias("_balance_risk"),
+    )
     facts = assemble_month(
         customer_months(customers, months),
         balance,
@@ -68,18 +90,19 @@ def monthly_facts(
         ),
         asof_latest(scores, months).drop("score_date"),
     )
-    first = F.get(month_list(months), 0)
+    score_risk = risk_flag(F.lit(0), "probability_of_default", F.lit(None).cast("decimal(5,4)"))
     return facts.select(
         "month_start",
         "customer_id",
         null_to_zero("total_balance").alias("total_balance"),
-        F.when(F.col("month_start") > first, null_to_zero("carried_balance")).alias(
-            "previous_month_balance"
-        ),
-        null_to_zero("_used").alias("_used"),
+        F.when(later, null_to_zero("previous_month_balance")).alias("previous_month_balance"),
+        F.when(later, null_to_zero("mom_balance_change")).alias("mom_balance_change"),
+        "mom_balance_change_pct",
+        null_to_zero("credit_utilization").alias("credit_utilization"),
+        "probability_of_default",
         *[null_to_zero(c).alias(c) for c in TYPE_COUNTS],
         *CHANNEL_MEANS,
-        "probability_of_default",
+        (F.coalesce("_balance_risk", F.lit(False)) | score_risk).alias("risk_flag"),
     )
 
 
@@ -91,10 +114,9 @@ def scorecard(
     scores: DataFrame,
 ) -> DataFrame:
     """Scorecard over all report months; the previous month is the one before in the data."""
-    facts = monthly_facts(
-        customers, report_months(snapshots), snapshots, accounts, transactions, scores
+    return monthly_facts(
+        customers, report_months(snapshots), snapshots, accounts, transactions, scores, ratio_scale=4
     )
-    return _with_ratios(facts, change_scale=4, utilisation_scale=4)
 
 
 def scorecard_month(
@@ -110,34 +132,16 @@ def scorecard_month(
     A missing month before gives a NULL previous balance. Rows have the types of the gold table.
     """
     run = parse_month(run_month)
-    facts = monthly_facts(
+    return monthly_facts(
         customers,
         report_months(snapshots, run_month),
         snapshots.filter(month_range("snapshot_date", run_month)),
         accounts,
         transactions.filter(month_range("txn_date", run_month, back=0)),
         scores.filter(F.col("score_date") < F.lit(shift_month(run, 1))),
+        ratio_scale=6,
         guard="nonzero",
     ).filter(F.col("month_start") == F.lit(run))
-    return _with_ratios(facts, change_scale=6, utilisation_scale=6)
-
-
-def _with_ratios(facts: DataFrame, change_scale: int, utilisation_scale: int) -> DataFrame:
-    change = change_ratio("total_balance", "previous_month_balance")
-    # The flag compares the unrounded ratios.
-    return facts.select(
-        "month_start",
-        "customer_id",
-        "total_balance",
-        "previous_month_balance",
-        wide_money(delta("total_balance", "previous_month_balance")).alias("mom_balance_change"),
-        F.round(change, change_scale).cast("decimal(18,6)").alias("mom_balance_change_pct"),
-        F.round("_used", utilisation_scale).cast("decimal(18,6)").alias("credit_utilization"),
-        "probability_of_default",
-        *TYPE_COUNTS,
-        *CHANNEL_MEANS,
-        risk_flag("_used", "probability_of_default", change).alias("risk_flag"),
-    )
 
 
 def report_order() -> list[Column]:

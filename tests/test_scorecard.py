@@ -1,11 +1,15 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from bankflow.operators.balances import latest_per_month, month_balance, with_previous
 from bankflow.operators.scaffold import assemble_month, customer_months, report_months
 from bankflow.operators.scores import asof_latest, scores_before
-from bankflow.plans.scorecard import order_scorecard, scorecard, scorecard_month
-from tests.helpers import d, dec, rows, ts
+from bankflow.plans.scorecard import order_scorecard, rank_scorecard, scorecard, scorecard_month
+from parity import queries
+from parity.fixtures import Bank, ensure_shared_folder
+from tests.helpers import d, dec, plan_of, rows, ts
 
 SNAPSHOTS = (
     "snapshot_date date, account_id string, customer_id string, account_type string, "
@@ -163,3 +167,44 @@ def test_latest_snapshot_settles_ties(spark):
         [(day, "a", "c", "SAVINGS", dec(b), None) for b in ("1", "3", "2")], SNAPSHOTS
     )
     assert [r["balance"] for r in latest_per_month(df).collect()] == [dec("3.00")]
+
+
+def physical(df):
+    return plan_of(df).split("== Physical Plan ==")[1]
+
+
+def test_rank_form_moves_no_pairs(bank):
+    """The pairs of scores and months are listed behind the last shuffle and sort."""
+    _, snapshots, _, _, scores = bank
+    plan = physical(asof_latest(scores, report_months(snapshots), method="rank"))
+    assert "Generate" in plan and plan.index("Generate") < min(plan.index("Exchange"), plan.index("Sort"))
+
+
+def test_rank_form_equals_interval_form_on_odd_rows(spark, bank):
+    months = report_months(bank[1])
+    odd = spark.createDataFrame(
+        [
+            (None, d("2025-01-01"), dec("0.1")), (None, d("2025-03-01"), None), ("c1", None, dec("0.2")),
+            ("c2", d("2025-02-03"), dec("0.3")), ("c2", d("2025-02-03"), dec("0.4")), ("c2", d("2025-02-03"), None),
+            ("c2", d("2025-04-30"), None), ("c3", d("2025-05-01"), dec("0.5")), (None, None, None),
+        ],
+        "customer_id string, score_date date, probability_of_default decimal(5,4)",
+    )
+    columns = ("month_start", "customer_id", "score_date", "probability_of_default")
+    found = rows(asof_latest(odd, months, method="rank"), *columns)
+    assert found == rows(asof_latest(odd, months), *columns)
+    assert [r[2:] for r in found if r[1] == "c2"] == [
+        (d("2025-02-03"), dec("0.4000")), (d("2025-04-30"), None)
+    ]
+
+
+def test_customer_leads_the_key_of_the_scorecard(bank):
+    """Sorts by customer first hardly tie; sorts by month first tie on nearly every row."""
+    plan = physical(scorecard(*bank))
+    assert "hashpartitioning(customer_id" in plan and "hashpartitioning(month_start" not in plan
+
+
+def test_balance_ratios_stand_below_the_joins(bank):
+    """They are taken once per balance row, not on every row of the grid."""
+    plan = physical(scorecard(*bank))
+    assert "round(" not in plan[: plan.index("Join")]
