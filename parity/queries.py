@@ -304,8 +304,8 @@ def risk_flag_months(bank: Bank) -> DataFrame:
     months = scaffold.report_months(bank.snapshots)
     known = scores.asof_latest(bank.scores, months)
     return (
-        balances.with_previous(_balance_grid(bank))
-        .join(known, ["month_start", "customer_id"], "left")
+        # The scores join before the window, while grid and balances still lie by customer and month.
+        balances.with_previous(scaffold.assemble_month(_balance_grid(bank), known))
         .select(
             "month_start",
             "customer_id",

@@ -208,3 +208,9 @@ def test_balance_ratios_stand_below_the_joins(bank):
     """They are taken once per balance row, not on every row of the grid."""
     plan = physical(scorecard(*bank))
     assert "round(" not in plan[: plan.index("Join")]
+
+
+def test_risk_flags_join_before_the_window(bank):
+    customers, snapshots, _, _, scores = bank
+    plan = physical(queries.risk_flag_months(SimpleNamespace(customers=customers, snapshots=snapshots, scores=scores)))
+    assert plan.index("Window") < plan.index("Join")
