@@ -32,6 +32,7 @@ from bankflow.operators.scaffold import (
     report_months,
 )
 from bankflow.operators.scores import asof_latest
+from bankflow.sinks.staged import Staging
 
 
 def monthly_facts(
@@ -154,8 +155,11 @@ def order_scorecard(rows: DataFrame) -> DataFrame:
 
 
 def rank_scorecard(rows: DataFrame) -> DataFrame:
-    """Adds ``row_number``, the place in the report. ``rows`` is computed twice; store it first if dear."""
-    return with_row_number(rows, report_order())
+    """Adds ``row_number``, the place in the report.
+
+    The rows are stored first, as numbering reads them twice.
+    """
+    return with_row_number(Staging(rows.sparkSession).write(rows, "report"), report_order())
 
 
 def scorecard_summary(rows: DataFrame) -> DataFrame:

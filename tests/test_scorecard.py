@@ -214,3 +214,17 @@ def test_risk_flags_join_before_the_window(bank):
     customers, snapshots, _, _, scores = bank
     plan = physical(queries.risk_flag_months(SimpleNamespace(customers=customers, snapshots=snapshots, scores=scores)))
     assert plan.index("Window") < plan.index("Join")
+
+
+def test_ranking_computes_the_report_once(spark, bank):
+    ensure_shared_folder(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(customer):
+        seen.add(1)
+        return customer
+
+    grid = customer_months(bank[0], report_months(bank[1]))
+    counted = grid.withColumn("customer_id", F.udf(count, "string").asNondeterministic()("customer_id"))
+    assert [r["row_number"] for r in rank_scorecard(counted).orderBy("row_number").collect()] == list(range(1, 10))
+    assert seen.value == 9
