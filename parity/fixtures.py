@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bankflow.sinks.staged import Staging
+
 TABLES = ("nation", "customer", "orders", "lineitem", "events")
 
 FIXTURES = {
@@ -103,6 +105,12 @@ class Bank:
         setattr(self, name, built)
         return built
 
+    def store(self, *names: str) -> None:
+        """Write derived tables to the shared folder and read them from there, for queries of several loads."""
+        staging = Staging(self.spark)
+        for name in names:
+            setattr(self, name, staging.write(getattr(self, name), f"fx-{name}"))
+
 
 def with_fixtures(query: str, *names: str) -> str:
     """The query behind the CTEs of the named fixtures, for the checking engine."""

@@ -357,6 +357,7 @@ def scorecard_month(bank: Bank) -> DataFrame:
 def scorecard_upsert(bank: Bank) -> DataFrame:
     """Two months loaded, the later one twice; each customer-month is there once."""
     target = scratch_path(bank.spark, "scorecard")
+    bank.store("accounts", "scores")  # every load reads all of both
     for month in ("1998-02-01", RUN_MONTH, RUN_MONTH):
         upsert(
             target,

@@ -228,3 +228,11 @@ def test_ranking_computes_the_report_once(spark, bank):
     counted = grid.withColumn("customer_id", F.udf(count, "string").asNondeterministic()("customer_id"))
     assert [r["row_number"] for r in rank_scorecard(counted).orderBy("row_number").collect()] == list(range(1, 10))
     assert seen.value == 9
+
+
+def test_stored_tables_are_read_back(spark, bank, tmp_path):
+    made = Bank(spark, str(tmp_path))
+    made.scores = bank[4].groupBy("customer_id", "score_date").agg(F.max("probability_of_default").alias("p"))
+    before = rows(made.scores)
+    made.store("scores")
+    assert rows(made.scores) == before and "Aggregate" not in physical(made.scores)
